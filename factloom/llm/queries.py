@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import lookalikes, site_lines
+from factloom.llm import lookalikes, site_lines, survivors
 from factloom.session import table
 
 
@@ -48,4 +48,19 @@ def p3_stripped(spark: SparkSession, d: str) -> DataFrame:
     return out.select("chunk_id", "doc_id", "loaded_at", "deleted_at", "text", "lines_removed")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_stripped)}
+def _survivors(spark: SparkSession, d: str) -> DataFrame:
+    facts, companies, trust, metrics = (table(spark, d, t) for t in ("facts", "companies", "field_trust", "metric_registry"))
+    return survivors.survivors(facts, companies, trust, metrics)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Groups whose surviving record beats each of its others."""
+    return _survivors(spark, d).where("sure").select("group_id", "fact_id")
+
+
+def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The survivor of every group, with its posterior's parts and the best value of each field."""
+    return _survivors(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_stripped, p5_found, p5_survivors)}
