@@ -32,6 +32,8 @@ ARMENIAN, ARMENIAN_AS = "ՕՍհոսօ", "OUhnuo"
 # Greek small letters that serve as symbols; look-alikes only inside a Latin word.
 SYMBOLS, SYMBOLS_AS = "αγικνρυ", "ayikvpu"
 
+# Characters that are in form wherever they stand: a plain range test that settles almost every value.
+CLEAN = r"^[\x{4E00}-\x{9FFF} -~\n\x{3001}\x{3002}\x{FF0C}\x{FF1A}\x{FF1B}\x{FF08}\x{FF09}\x{201C}\x{201D}\x{FF01}\x{FF1F}\x{300A}-\x{3011}\x{2026}\x{2018}\x{2019}]*+\z"
 SUSPECT = (
     r"[\x00-\x09\x0B-\x1F\x7F-\xA0\xAD\p{M}\p{Cf}\p{IsGreek}\p{IsCyrillic}\p{IsArmenian}"
     r"\x{115F}\x{1160}\x{1680}\x{1100}-\x{11FF}\x{2000}-\x{2013}\x{2028}\x{2029}\x{202F}\x{2043}\x{205F}\x{2126}\x{212A}\x{212B}\x{2212}"
@@ -118,7 +120,7 @@ def _form_udf(values: pd.Series) -> pd.Series:
 
 def suspect(c: Column) -> Column:
     """True where a value may not be in the project's form; a clean value never is."""
-    return F.coalesce(c.rlike(SUSPECT), F.lit(False))
+    return F.coalesce(~c.rlike(CLEAN) & c.rlike(SUSPECT), F.lit(False))
 
 
 def form(c: Column) -> Column:

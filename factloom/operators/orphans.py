@@ -55,16 +55,18 @@ def references(df: DataFrame, src_table: str, key: str, field: str, target: str)
     return _keyed(refs, F.col("ref_key")).select(*REF_COLS)
 
 
-def parent_events(df: DataFrame, target: str, *keys: str) -> DataFrame:
-    """Arrivals (+1) and deletions (-1) of every key of `df`; rows deleted before they came never lived."""
+def parent_events(df: DataFrame, keys: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Arrivals (+1) and deletions (-1) of the rows of `df` under each key column, for the targets it serves.
+
+    Rows deleted before they came never lived.
+    """
     out = None
-    for key in keys:
+    for key, targets in keys.items():
         rows = df.select(F.col(key).alias("key"), "loaded_at", "deleted_at").where(~blank(F.col("key")) & F.col("loaded_at").isNotNull())
         rows = rows.where(F.col("deleted_at").isNull() | (F.col("deleted_at") > F.col("loaded_at")))
-        one = _keyed(rows, F.col("key")).select(
-            F.lit(target).alias("target"), "k1", "k2",
-            F.explode(F.array(F.struct(F.col("loaded_at").alias("ts"), F.lit(1).cast("bigint").alias("delta")), F.struct(F.col("deleted_at").alias("ts"), F.lit(-1).cast("bigint").alias("delta")))).alias("e"),
-        ).select("target", "k1", "k2", "e.ts", "e.delta").where(F.col("ts").isNotNull())
+        moves = [F.struct(F.lit(t).alias("target"), F.col(at).alias("ts"), F.lit(n).cast("bigint").alias("delta")) for t in targets for at, n in (("loaded_at", 1), ("deleted_at", -1))]
+        one = _keyed(rows, F.col("key")).select("k1", "k2", F.explode(F.array(*moves)).alias("e"))
+        one = one.select("e.target", "k1", "k2", "e.ts", "e.delta").where(F.col("ts").isNotNull())
         out = one if out is None else out.unionByName(one)
     return out
 

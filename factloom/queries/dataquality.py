@@ -15,9 +15,8 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     refs = refs.unionByName(orphans.references(facts, "facts", "fact_id", "doc_id", "report"))
     refs = refs.unionByName(orphans.references(chunks, "chunks", "chunk_id", "parent_chunk_id", "parent"))
     refs = refs.unionByName(orphans.references(claims, "claims", "claim_id", "evidence_ids", "evidence"))
-    events = orphans.parent_events(chunks, "evidence", "chunk_id", "evidence_id")
-    events = events.unionByName(orphans.parent_events(chunks, "parent", "chunk_id"))
-    return refs, events.unionByName(orphans.parent_events(reports, "report", "doc_id"))
+    events = orphans.parent_events(chunks, {"chunk_id": ("evidence", "parent"), "evidence_id": ("evidence",)})
+    return refs, events.unionByName(orphans.parent_events(reports, {"doc_id": ("report",)}))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
