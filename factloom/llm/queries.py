@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import lookalikes, site_lines, survivors
-from factloom.session import table
+from factloom.llm import lookalikes, mixing, packing, site_lines, survivors, tokens
+from factloom.session import materialize, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,4 +63,35 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_stripped, p5_found, p5_survivors)}
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = materialize(tokens.sizes(table(spark, d, "documents"), "doc_id"), "sizes")
+    specs = table(spark, d, "pack_specs")
+    return packing.pack(sized, specs, materialize), specs
+
+
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of every piece of one that exceeds the capacity, for every spec."""
+    return _packed(spark, d)[0]
+
+
+def p6_utilisation(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each spec are."""
+    return packing.utilisation(*_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = materialize(tokens.sizes(table(spark, d, "documents"), "doc_id", "source"), "sizes")
+    return mixing.draw(sized, table(spark, d, "mix_targets"), materialize)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of every mix, with how many times each is used."""
+    return _mixed(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source of every mix."""
+    return mixing.report(*_mixed(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_stripped, p5_found, p5_survivors, p6_packing, p6_utilisation, p7_mix, p7_shares)}
