@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import lookalikes, mixing, packing, site_lines, survivors, tokens
+from factloom.llm import lookalikes, mixing, packing, site_lines, subjects, survivors, tokens
 from factloom.session import materialize, table
 
 
@@ -94,4 +94,18 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*_mixed(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_stripped, p5_found, p5_survivors, p6_packing, p6_utilisation, p7_mix, p7_shares)}
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.classify(*(table(spark, d, t) for t in ("documents", "labels", "subjects")))[0]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects that each document treats."""
+    return _classified(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Composition of the corpus by subject: documents, and sentences that concern the subject."""
+    return _classified(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_stripped, p5_found, p5_survivors, p6_packing, p6_utilisation, p7_mix, p7_shares, p8_found, p8_composition)}
