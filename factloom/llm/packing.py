@@ -81,10 +81,16 @@ def _pack_slice(last: bool):
     return pack
 
 
-def items(sized: DataFrame, specs: DataFrame) -> DataFrame:
-    """Pieces of every document for every spec (a fixed table of a few rows, broadcast)."""
-    specs = specs.where("capacity_tokens >= 1 and spec_id is not null").select("spec_id", F.col("capacity_tokens").alias("capacity"), F.coalesce("separator_tokens", F.lit(0)).alias("separator"))
-    rows = sized.join(F.broadcast(specs), F.lit(True))
+def _specs(specs: DataFrame) -> list[tuple[str, int, int]]:
+    """The usable specs; a fixed table of a few rows."""
+    rows = specs.where("capacity_tokens >= 1 and spec_id is not null").select("spec_id", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator")).distinct()
+    return sorted((r["spec_id"], r["capacity_tokens"], max(0, r["separator"])) for r in rows.collect())
+
+
+def items(sized: DataFrame, specs: list[tuple[str, int, int]]) -> DataFrame:
+    """Pieces of every document for every spec."""
+    each = [F.struct(F.lit(i).alias("spec_id"), F.lit(c).alias("capacity"), F.lit(s).alias("separator")) for i, c, s in specs]
+    rows = sized.withColumn("_s", F.explode(F.array(*each) if each else F.array().cast("array<struct<spec_id:string,capacity:int,separator:int>>"))).select("doc_id", "tokens", "_s.*")
     n = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity"))).cast("int")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
     first = F.col("piece").cast("bigint") * F.col("capacity")
@@ -99,14 +105,17 @@ def _round(rows: DataFrame, n_items: int, last: bool) -> DataFrame:
 
 def pack(sized: DataFrame, specs: DataFrame, cut) -> DataFrame:
     """Every piece with its container.  `sized` has doc_id and tokens; `cut(df, name)` writes and rereads a table."""
-    first = items(sized, specs)
+    known = _specs(specs)
+    first = items(sized, known)
     full = F.col("tokens") == F.col("capacity")
     # a full piece is a container by itself
     alone = first.where(full).select("spec_id", F.concat_ws("-", "spec_id", F.lit("full"), F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("container_id"), F.lit(0).alias("position"), "doc_id", "piece", "first_token", "tokens")
     rest = first.where(~full)
     n = cut(sized.agg(F.count("*").alias("n")), "pack-count").first()["n"]
     one = cut(_round(rest, n, last=False), "pack-first")
-    left = one.where("open").select("spec_id", "doc_id", "piece", "first_token", "tokens").join(F.broadcast(specs.select("spec_id", F.col("capacity_tokens").alias("capacity"), F.coalesce("separator_tokens", F.lit(0)).alias("separator"))), "spec_id")
+    sizes = {i: (c, s) for i, c, s in known}
+    of = lambda k: F.create_map(*[F.lit(x) for i, v in sizes.items() for x in (i, v[k])])[F.col("spec_id")] if sizes else F.lit(1)
+    left = one.where("open").select("spec_id", "doc_id", "piece", "first_token", "tokens", of(0).alias("capacity"), of(1).alias("separator"))
     two = _round(left, left.count(), last=True)
     return one.where(~F.col("open")).drop("open").unionByName(two.drop("open")).unionByName(alone)
 
