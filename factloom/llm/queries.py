@@ -29,8 +29,8 @@ def _site() -> Column:
     return F.struct(F.col("source_type"), site_lines.publisher(F.col("file_name")))
 
 
-def _line_state(chunks: DataFrame) -> site_lines.LineState:
-    rows = site_lines.lines(chunks, _site(), "doc_id", "text")
+def _line_state(chunks: DataFrame, rows: DataFrame | None = None) -> site_lines.LineState:
+    rows = site_lines.lines(chunks, _site(), "doc_id", "text") if rows is None else rows
     return site_lines.build(rows, site_lines.source_sizes(chunks, _site(), "doc_id"))
 
 
@@ -38,7 +38,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines that repeat excessively within their source."""
     chunks = table(spark, d, "chunks")
     rows = site_lines.lines(chunks.select("chunk_id", "doc_id", "source_type", "file_name", "text"), _site(), "doc_id", "text", keep=["chunk_id"])
-    return site_lines.mark(rows, _line_state(chunks).excessive()).select("chunk_id", "line_no").distinct()
+    rows = materialize(rows, "lines")  # texts are read once; counting and marking use the hashed lines
+    return site_lines.mark(rows, _line_state(chunks, rows).excessive()).select("chunk_id", "line_no").distinct()
 
 
 def p3_stripped(spark: SparkSession, d: str) -> DataFrame:
