@@ -91,7 +91,7 @@ def cut(texts: list[str]) -> Terms:
     if len(first):
         last = np.flatnonzero(letter & ~np.append(letter[1:], False))
         number = np.cumsum(_flags(len(codes), first))
-        place = np.arange(len(codes)) - first[np.maximum(number - 1, 0)]
+        place = np.maximum(np.arange(len(codes)) - first[np.maximum(number - 1, 0)], 0)
         weight = _POWERS[np.minimum(place, 31)]
         value = np.where(letter, (lower.astype(np.uint64) + np.uint64(7)) * weight, np.uint64(0))
         words = (np.add.reduceat(value, first) >> np.uint64(3)).astype(np.int64) | _WORD
