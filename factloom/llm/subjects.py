@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.form import form
@@ -52,6 +52,7 @@ SEEDS = {
 }
 #: Raters' labels that the naming words of a leaf weigh as much as.
 SEED_WEIGHT = 3.0
+BREAK = -1
 _WORD, _PAIR = 1 << 62, 1 << 62 | 1 << 61
 _END = np.zeros(0x3010, dtype=bool)
 for _c in "\n.!?。":
@@ -103,6 +104,22 @@ def cut(texts: list[str]) -> Terms:
     return Terms(doc[at], sentence[at], term, at, codes)
 
 
+#: Characters cut at once: bounds the arrays of one step, whatever the batch.
+STEP_CHARS = 400_000
+
+
+def steps(texts: list[str]):
+    """Consecutive slices (first, last) of the texts of at most STEP_CHARS characters, or one text."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and (size + len(t) > STEP_CHARS or i - first >= 16_000):
+            yield first, i
+            first, size = i, 0
+        size += len(t) + 1
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _flags(n: int, at: np.ndarray) -> np.ndarray:
     out = np.zeros(n, dtype=np.int64)
     out[at] = 1
@@ -113,54 +130,83 @@ _POWERS = np.array([pow(0x100000001B3, k + 1, 2**64) for k in range(32)], dtype=
 
 
 def spell(codes: np.ndarray, start: int, term: int) -> str:
-    """The text of the term that starts here: two Han characters, a word or two words."""
-    if term < _WORD:
-        return "".join(map(chr, codes[start : start + 2]))
+    """The word or two words that start here."""
     words = re.findall(r"[A-Za-zÀ-ɏ]+", "".join(map(chr, codes[start : start + 70])))
     return " ".join(words[: 1 + (term >= _PAIR)]).lower()
 
 
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(term, documents, mentions) of several slices added up."""
+    term = np.concatenate([p[0] for p in parts])
+    order = np.argsort(term)
+    term = term[order]
+    new = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
+    return term[new], *(np.add.reduceat(np.concatenate([p[k] for p in parts])[order], new) for k in (1, 2))
+
+
 def _counted(batch: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (term, document) of a batch with counts and one place each."""
-    order = np.lexsort((batch.doc, batch.term))
-    t, d, at = batch.term[order], batch.doc[order], batch.start[order]
-    new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])))) if len(t) else np.zeros(0, dtype=np.int64)
-    return t[new], d[new], np.diff(np.append(new, len(t))), at[new]
+    """Per distinct term: documents, mentions and one place."""
+    # 50 bits of a mixed term over 14 bits of the document within the slice: one sort does both
+    low = (batch.doc & 0x3FFF).astype(np.uint64)
+    key = (batch.term.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(0x3FFF) | low
+    order = np.argsort(key)
+    key = key[order]
+    pair = np.concatenate(([True], key[1:] != key[:-1]))
+    word = key >> np.uint64(14)
+    new = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    at = order[new]
+    return batch.term[at], np.add.reduceat(pair.astype(np.int64), new), np.diff(np.append(new, len(key))), batch.start[at]
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
     """Topical terms with document frequency and gathering; `slot` numbers them from 0."""
 
     def count(batches):
+        parts: list[tuple[np.ndarray, ...]] = []
+        names: dict[int, str] = {}
+        bins = np.zeros((2, 64, 2), dtype=np.int64)  # alphabet, half-octave of length, (documents, units)
         for b in batches:
             values = b["text"].tolist()
-            terms = cut(values)
-            t, _, n, at = _counted(terms)
-            new = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, dtype=np.int64)
-            if len(new):
-                df = np.diff(np.append(new, len(t)))
-                keep = df > 0
-                yield pd.DataFrame({"term": t[new][keep], "df": df[keep], "cf": np.add.reduceat(n, new)[keep], "example": [spell(terms.codes, a, x) for a, x in zip(at[new][keep], t[new][keep], strict=True)]})
+            for i, j in steps(values):
+                terms = cut(values[i:j])
+                for alphabet, in_it in enumerate((terms.term >= _WORD, terms.term < _WORD)):
+                    n = np.bincount(terms.doc[in_it], minlength=j - i)
+                    n = n[n > 0]
+                    half = np.minimum(np.round(np.log2(n) * 2).astype(int), 63)
+                    bins[alphabet, :, 0] += np.bincount(half, minlength=64)
+                    bins[alphabet, :, 1] += np.bincount(half, weights=n, minlength=64).astype(np.int64)
+                if not len(terms.term):
+                    continue
+                t, df, cf, at = _counted(terms)
+                parts.append((t, df, cf))
+                for k in np.flatnonzero(t >= _WORD):
+                    if (x := int(t[k])) not in names:
+                        names[x] = spell(terms.codes, at[k], x)
+                if len(parts) >= 32:
+                    parts = [_merged(parts)]
+        a, h = np.nonzero(bins[:, :, 0])
+        yield pd.DataFrame({"term": -(a * 64 + h) - 1, "df": bins[a, h, 0], "cf": bins[a, h, 1], "example": [""] * len(a)})
+        if parts:
+            t, df, cf = _merged(parts)
+            yield pd.DataFrame({"term": t, "df": df, "cf": cf, "example": [names[x] if x >= _WORD else chr(x >> 16) + chr(x & 0xFFFF) for x in t.tolist()]})
 
     counts = texts.mapInPandas(count, "term bigint, df bigint, cf bigint, example string").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.min("example").alias("example"))
-    # lengths of documents in each alphabet, in quarter-octave bins: a bounded histogram
-    size = texts.select(F.explode(F.array(F.struct(F.lit(True).alias("han"), F.regexp_count("text", F.lit(r"[\x{4E00}-\x{9FFF}]")).alias("n")), F.struct(F.lit(False).alias("han"), F.regexp_count("text", F.lit("[a-z]+(?i)")).alias("n")))).alias("s"))
-    size = size.where("s.n > 0").groupBy("s.han", F.round(F.log2("s.n") * 2).alias("bin")).agg(F.count("*").alias("docs"), F.sum("s.n").alias("units"))
-    rows = size.collect()  # at most 2 alphabets x some 60 bins
-    n_docs = {h: sum(r["docs"] for r in rows if r["han"] == h) for h in (True, False)}
-    total = {h: max(1, sum(r["units"] for r in rows if r["han"] == h)) for h in (True, False)}
+    counts = materialize(counts, "term-counts")
+    # lengths of documents in each alphabet: a histogram of at most 2 x 64 bins
+    rows = [(-r["term"] - 1 >= 64, r["df"], r["cf"]) for r in counts.where("term < 0").collect()]
+    n_docs = {h: sum(r[1] for r in rows if r[0] == h) for h in (True, False)}
+    total = {h: max(1, sum(r[2] for r in rows if r[0] == h)) for h in (True, False)}
     is_han = F.col("term") < _WORD
 
     def expected(h: bool):
-        parts = [F.lit(float(r["docs"])) * (1 - F.exp(-F.col("cf") * F.lit(r["units"] / r["docs"] / total[h]))) for r in rows if r["han"] == h]
+        parts = [F.lit(float(docs)) * (1 - F.exp(-F.col("cf") * F.lit(units / docs / total[h]))) for a, docs, units in rows if a == h]
         return sum(parts, F.lit(0.0))
 
     gathering = F.when(is_han, expected(True)).otherwise(expected(False)) / F.col("df")
     least = max(3.0, MIN_DF * max(n_docs.values(), default=0))
     most = F.when(is_han, 0.3 * n_docs[True]).otherwise(0.3 * n_docs[False])
-    chosen = counts.withColumn("gathering", gathering).where((F.col("df") >= least) & (F.col("df") <= most) & (F.col("gathering") >= MIN_GATHERING))
-    chosen = chosen.orderBy(F.desc(F.col("gathering") * F.log("df")), "term").limit(VOCABULARY)
-    return chosen.withColumn("slot", F.row_number().over(Window.orderBy("term")) - 1)
+    chosen = counts.where("term >= 0").where((F.col("df") >= least) & (F.col("df") <= most)).withColumn("gathering", gathering).where(F.col("gathering") >= MIN_GATHERING)
+    return chosen.orderBy(F.desc(F.col("gathering") * F.log("df")), "term").limit(VOCABULARY)
 
 
 @dataclass
@@ -179,31 +225,33 @@ class Slots:
 
 
 def subject_sentences(texts: DataFrame, slots: Slots) -> DataFrame:
-    """Per document, one array of slots for every sentence with a topical term (repeats within a sentence count once)."""
+    """Per document, the slots of its topical terms sentence by sentence, with BREAK after each sentence that has any."""
     known = texts.sparkSession.sparkContext.broadcast(slots)  # at most VOCABULARY terms
 
     def find(batches):
         for b in batches:
-            terms = cut(b["text"].tolist())
-            slot = known.value.find(terms.term)
-            hit = np.flatnonzero(slot >= 0)
-            key = np.unique(terms.sentence[hit] * 2**20 + slot[hit])
-            sentence, slot = key >> 20, (key & (2**20 - 1)).astype(np.int32)
-            doc_of = np.zeros(int(terms.sentence.max()) + 1 if len(terms.sentence) else 1, dtype=np.int64)
-            doc_of[terms.sentence] = terms.doc
-            new = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1]))) if len(sentence) else np.zeros(0, dtype=np.int64)
-            parts = np.split(slot, new[1:]) if len(new) else []
-            out: list[list[np.ndarray]] = [[] for _ in range(len(b))]
-            for d, p in zip(doc_of[sentence[new]], parts, strict=True):
-                out[d].append(p)
+            values = b["text"].tolist()
+            out: list[np.ndarray] = []
+            for i, j in steps(values):
+                terms = cut(values[i:j])
+                slot = known.value.find(terms.term)
+                hit = np.flatnonzero(slot >= 0)
+                key = np.unique(terms.sentence[hit] * 2**20 + slot[hit])  # repeats within a sentence count once
+                sentence, slot = key >> 20, (key & (2**20 - 1)).astype(np.int32)
+                doc_of = np.zeros(int(terms.sentence.max(initial=0)) + 1, dtype=np.int64)
+                doc_of[terms.sentence] = terms.doc
+                ends = np.flatnonzero(np.append(sentence[1:] != sentence[:-1], True)) + 1 if len(sentence) else np.zeros(0, dtype=np.int64)
+                flat = np.insert(slot, ends, BREAK)
+                doc = np.insert(doc_of[sentence], ends, doc_of[sentence][ends - 1]) if len(ends) else np.zeros(0, dtype=np.int64)
+                out += np.split(flat, np.searchsorted(doc, np.arange(1, j - i)))
             yield pd.DataFrame({"doc_id": b["doc_id"], "sentences": out})
 
-    return texts.select("doc_id", "text").mapInPandas(find, "doc_id bigint, sentences array<array<int>>")
+    return texts.select("doc_id", "text").mapInPandas(find, "doc_id bigint, sentences array<int>")
 
 
 def vectors(sentences: DataFrame, n: int) -> DataFrame:
     """Normalised vectors of the documents with topical terms: term frequency times inverse document frequency."""
-    words = sentences.where(F.size("sentences") > 0).select("doc_id", F.flatten("sentences").cast("array<string>").alias("words"))
+    words = sentences.where(F.size("sentences") > 0).select("doc_id", F.filter("sentences", lambda x: x >= 0).cast("array<string>").alias("words"))
     counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(n)], "words", "counts").transform(words)
     weighted = IDF(inputCol="counts", outputCol="weighted").fit(counted).transform(counted)
     return Normalizer(inputCol="weighted", outputCol="features").transform(weighted).select("doc_id", "features")
@@ -222,13 +270,20 @@ def rated(labels: DataFrame, names: list[str]) -> DataFrame:
     return known.groupBy("doc_id").agg(F.sort_array(F.collect_set(number)).alias("given"))
 
 
-def _flat(sentences: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of a batch in a row, where each sentence starts, and the document of each sentence."""
-    each = [p for s in sentences for p in s]
+def _flat(sentences: list[np.ndarray], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of a batch in a row, where each sentence starts, and the document of each sentence.
+
+    With `keep`, slots it does not mark fall away, and sentences left without any.
+    """
+    all_ = np.concatenate(sentences).astype(np.int64) if len(sentences) else np.zeros(0, dtype=np.int64)
     doc = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-    lengths = np.array([len(p) for p in each], dtype=np.int64)
-    slots = np.concatenate(each).astype(np.int64) if each else np.zeros(0, dtype=np.int64)
-    return slots, np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths, doc
+    number = np.cumsum(all_ == BREAK)
+    use = all_ >= 0
+    if keep is not None and len(keep):
+        use &= keep[np.maximum(all_, 0)]
+    slots, number, doc = all_[use], number[use], doc[use]
+    starts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(slots) else np.zeros(0, dtype=np.int64)
+    return slots, starts, doc[starts]
 
 
 def judge(slots: np.ndarray, starts: np.ndarray, doc: np.ndarray, n_docs: int, logs: np.ndarray, prior: np.ndarray, turns: int = 3) -> np.ndarray:
@@ -314,7 +369,7 @@ def train(sentences: DataFrame, slots: Slots, labels: DataFrame, names: list[str
     def by_leaf(b: pd.DataFrame) -> np.ndarray:
         out = np.zeros((n + k, LEAVES))
         for s, g, leaf in zip(b["sentences"], b["given"], b["leaf"], strict=True):
-            np.add.at(out, (np.concatenate(list(s)), int(leaf)), 1)
+            np.add.at(out, (s[s >= 0], int(leaf)), 1)
             if g is not None and len(g):
                 out[n + np.asarray(g), int(leaf)] += 1 / len(g)
         return out
@@ -358,8 +413,7 @@ def assign(sentences: DataFrame, model: Model, labels: DataFrame) -> DataFrame:
     def decide(batches):
         m = held.value
         for b in batches:
-            kept = [[q for p in s if len(q := p[m.specific[p]])] for s in (b["sentences"] if len(m.slots.term) else [[]] * len(b))]
-            slot, starts, doc = _flat(kept)
+            slot, starts, doc = _flat(b["sentences"].tolist(), m.specific)
             n = np.zeros((len(b), max(1, k)), dtype=np.int64)
             if len(starts):
                 best = judge(slot, starts, doc, len(b), m.logs, _prior(b["given"], k, 0.5)).argmax(axis=1)
