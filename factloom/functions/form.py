@@ -7,6 +7,7 @@ a null form; the empty text is its own form.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -58,6 +59,8 @@ def _table() -> dict[int, str | None]:
     return t | {0x09: " ", 0x0A: "\n"}
 
 
+# The same ranges for single values: what stands outside them may need work.
+_ODD = re.compile("[^" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{m[1]:>04}", CLEAN[2 : CLEAN.index("]")]) + "]")
 _LOOKS = {a: b for f, g in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS)) for a, b in zip(f, g, strict=True)}
 _INSIDE = dict(zip(SYMBOLS, SYMBOLS_AS, strict=True))
 _TOKEN = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{M}]+")
@@ -102,8 +105,8 @@ def resolve_token(token: str, before: str = "", after: str = "") -> str:
 
 def to_form(text: str | None) -> str | None:
     """The project's form of one value."""
-    if text is None:
-        return None
+    if text is None or not _ODD.search(text):
+        return text
     text = unicodedata.normalize("NFC", text.translate(_table()))
     if not _FOREIGN.search(text):
         return text
