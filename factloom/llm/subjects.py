@@ -25,14 +25,14 @@ from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.form import form
+from factloom.functions.form import to_form
 from factloom.session import materialize
 
 SHARE, GENERAL = 0.2, "general"
 #: Size of the model: topical terms, leaves, rounds of sharpening.
 VOCABULARY, LEAVES, ROUNDS = 4096, 64, 3
-#: A term must stand in this share of documents (and in 3 at least) and gather this much more than chance.
-MIN_DF, MIN_GATHERING = 0.0008, 1.35
+#: A term must stand in a share of documents between these (and in 3 at least) and gather this much more than chance.
+MIN_DF, MAX_DF, MIN_GATHERING = 0.0008, 0.6, 1.35
 # Everyday words of each subject, by which leaves without raters' labels are still named.
 SEEDS = {
     "semiconductor": "芯片 晶圆 光刻 封装 半导体 集成电路 制程 chip wafer lithography semiconductor foundry etching packaging",
@@ -166,7 +166,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
         names: dict[int, str] = {}
         bins = np.zeros((2, 64, 2), dtype=np.int64)  # alphabet, half-octave of length, (documents, units)
         for b in batches:
-            values = b["text"].tolist()
+            values = [to_form(t) for t in b["text"]]
             for i, j in steps(values):
                 terms = cut(values[i:j])
                 for alphabet, in_it in enumerate((terms.term >= _WORD, terms.term < _WORD)):
@@ -185,7 +185,8 @@ def vocabulary(texts: DataFrame) -> DataFrame:
                 if len(parts) >= 32:
                     parts = [_merged(parts)]
         a, h = np.nonzero(bins[:, :, 0])
-        yield pd.DataFrame({"term": -(a * 64 + h) - 1, "df": bins[a, h, 0], "cf": bins[a, h, 1], "example": [""] * len(a)})
+        if len(a):
+            yield pd.DataFrame({"term": -(a * 64 + h) - 1, "df": bins[a, h, 0], "cf": bins[a, h, 1], "example": [""] * len(a)})
         if parts:
             t, df, cf = _merged(parts)
             yield pd.DataFrame({"term": t, "df": df, "cf": cf, "example": [names[x] if x >= _WORD else chr(x >> 16) + chr(x & 0xFFFF) for x in t.tolist()]})
@@ -204,7 +205,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
     gathering = F.when(is_han, expected(True)).otherwise(expected(False)) / F.col("df")
     least = max(3.0, MIN_DF * max(n_docs.values(), default=0))
-    most = F.when(is_han, 0.3 * n_docs[True]).otherwise(0.3 * n_docs[False])
+    most = F.when(is_han, MAX_DF * n_docs[True]).otherwise(MAX_DF * n_docs[False])
     chosen = counts.where("term >= 0").where((F.col("df") >= least) & (F.col("df") <= most)).withColumn("gathering", gathering).where(F.col("gathering") >= MIN_GATHERING)
     return chosen.orderBy(F.desc(F.col("gathering") * F.log("df")), "term").limit(VOCABULARY)
 
@@ -230,7 +231,7 @@ def subject_sentences(texts: DataFrame, slots: Slots) -> DataFrame:
 
     def find(batches):
         for b in batches:
-            values = b["text"].tolist()
+            values = [to_form(t) for t in b["text"]]
             out: list[np.ndarray] = []
             for i, j in steps(values):
                 terms = cut(values[i:j])
@@ -432,7 +433,7 @@ def assign(sentences: DataFrame, model: Model, labels: DataFrame) -> DataFrame:
 
 def prepare(documents: DataFrame) -> tuple[DataFrame, Slots]:
     """Topical sentences of every document with a text, and the vocabulary behind them."""
-    texts = documents.where(F.col("text").rlike(r"\S")).select("doc_id", form(F.col("text")).alias("text"))
+    texts = documents.where(F.col("text").rlike(r"\S")).select("doc_id", "text")
     words = vocabulary(texts).orderBy("term").collect()  # at most VOCABULARY rows
     slots = Slots(np.array([r["term"] for r in words], dtype=np.int64), [r["example"] for r in words])
     return materialize(subject_sentences(texts, slots), "subject-sentences"), slots
