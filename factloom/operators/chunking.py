@@ -57,6 +57,7 @@ def parent_child(documents: DataFrame) -> DataFrame:
             for d, t in zip(b["doc_id"], b["t"], strict=True):
                 for i, parent in enumerate(pack(t.split("\n"), PARENT, PARENT_OVERLAP)):
                     out += [(d, i, j, c) for j, c in enumerate(join_short(pack(parent.split("\n"), CHILD, CHILD_OVERLAP), CHILD, CHILD_LEAST))]
-            yield pd.DataFrame(out, columns=["doc_id", "parent_idx", "child_idx", "text"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "parent_idx", "child_idx", "text"])
 
     return rows.mapInPandas(cut, "doc_id bigint, parent_idx int, child_idx int, text string")
