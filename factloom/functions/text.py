@@ -111,10 +111,12 @@ def support_span(c: Column, most: int = 180) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Search tokens: Latin words and numbers, and Han bigrams (single characters where a run has one)."""
-    runs = F.regexp_extract_all(F.lower(normalize(c)), F.lit(r"[a-z0-9]+|[\x{4E00}-\x{9FFF}]+"), F.lit(0))
-    grams = F.transform(runs, lambda r: F.when(r.rlike("^[a-z0-9]") | (F.length(r) <= 2), F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.flatten(grams)
+    """Search tokens as a bag: Latin words and numbers, and Han bigrams (single characters where a run has one)."""
+    n = F.lower(normalize(c))
+    han = r"[\x{4E00}-\x{9FFF}]"
+    pairs = F.regexp_extract_all(n, F.lit(rf"(?=({han}{{2}})){han}"), F.lit(1))  # the look-ahead lets pairs overlap
+    lone = F.regexp_extract_all(n, F.lit(rf"(?<!{han}){han}(?!{han})"), F.lit(0))
+    return F.concat(F.regexp_extract_all(n, F.lit("[a-z0-9]+"), F.lit(0)), pairs, lone)
 
 
 def terms(c: Column) -> Column:

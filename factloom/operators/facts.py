@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,3 +108,33 @@ def display(value: Column, unit: Column) -> Column:
 
     money = F.when(F.abs(v) >= 10**8, shown("0.00000001", "亿元")).when(F.abs(v) >= 10**4, shown("0.0001", "万元")).otherwise(shown("1", "元"))
     return F.when(F.trim(unit) == "元", money).otherwise(shown("1", F.coalesce(F.trim(unit), F.lit(""))))
+
+
+def longest_name(spans: DataFrame, key: str, text: str, names: list[tuple[str, str]]) -> DataFrame:
+    """`key`, `company`, `alias_length`: the longest of the given (name, alias) pairs that occurs in a text.
+
+    `names` is a fixed table.  Aliases are looked up by their first character at every position, batch by batch.
+    """
+    schema = f"{key} {dict(spans.dtypes)[key]}, company string, alias_length int"
+    first: dict[str, list[tuple[str, str]]] = {}
+    for name, alias in sorted(set(names), key=lambda x: (-len(x[1]), x[0])):
+        if alias:
+            first.setdefault(alias[0], []).append((alias, name))
+
+    def find(batches):
+        for b in batches:
+            out = []
+            for k, t in zip(b[key], b[text], strict=True):
+                best = None
+                for i, c in enumerate(t):
+                    for alias, name in first.get(c, ()):
+                        if best is not None and len(alias) < best[0]:
+                            break
+                        if t.startswith(alias, i) and (best is None or (-len(alias), name) < (-best[0], best[1])):
+                            best = (len(alias), name)
+                if best is not None:
+                    out.append((k, best[1], best[0]))
+            if out:
+                yield pd.DataFrame(out, columns=[key, "company", "alias_length"])
+
+    return spans.where(F.col(text).isNotNull()).select(key, text).mapInPandas(find, schema)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
+from factloom.session import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Vectors of queries shipped to the tasks at once (rows); more queries go in further blocks.
@@ -30,11 +31,16 @@ def best(hits: DataFrame, k: int, query: str, doc: str, score: str = "score") ->
 
 
 def index(docs: DataFrame, doc: str, text: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings: doc, token, tf, dl; token statistics: token, df; corpus: n, avgdl)."""
+    """(postings: doc, token, tf, dl; token statistics: token, df; corpus: n, avgdl).
+
+    Postings are written once, so that texts are cut once; a document without tokens keeps one row of null token.
+    """
     tokens = docs.select(doc, tx.words(text).alias("ws")).where("ws is not null")
-    sized = tokens.withColumn("dl", F.size("ws"))
-    postings = sized.select(doc, "dl", F.explode("ws").alias("token")).groupBy(doc, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return postings, postings.groupBy("token").agg(F.count("*").alias("df")), sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    each = tokens.select(doc, F.size("ws").alias("dl"), F.explode_outer("ws").alias("token"))
+    rows = materialize(each.groupBy(doc, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
+    postings = rows.where("token is not null")
+    sizes = rows.groupBy(doc).agg(F.first("dl").alias("dl"))
+    return postings, postings.groupBy("token").agg(F.count("*").alias("df")), sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def bm25(queries: DataFrame, query: str, text: Column, docs: DataFrame, doc: str, doc_text: Column) -> DataFrame:
@@ -44,6 +50,7 @@ def bm25(queries: DataFrame, query: str, text: Column, docs: DataFrame, doc: str
     if not n:
         return queries.select(query).limit(0).join(docs.select(doc).limit(0), F.lit(True)).withColumn("score", F.lit(0.0))
     raw = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = materialize(df, "token-df")
     mean = df.agg(F.avg(raw).alias("m")).first()["m"] or 0.0  # one row
     idf = F.when(raw < 0, F.lit(EPSILON * mean)).otherwise(raw)
     asked = queries.select(query, F.explode(tx.words(text)).alias("token")).groupBy(query, "token").agg(F.count("*").alias("qf"))

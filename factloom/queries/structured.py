@@ -163,23 +163,10 @@ def fact_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """Company named in each fact's source span: the longest name or alias that occurs (ties by name).
-
-    Names are a fixed table; spans are cut into all substrings that are as long as some name, and those meet the names
-    in an equi-join, so no pair is compared that does not match.
-    """
-    names = table(spark, d, "companies").select("name", F.explode(F.concat(F.array("name"), "aliases")).alias("alias")).where(F.length("alias") > 0)
-    lengths = sorted(r[0] for r in names.select(F.length("alias")).distinct().collect())  # of a fixed table
-    spans = table(spark, d, "facts").select("fact_id", "source_span").where("source_span is not null").distinct()
-    starts = F.sequence(F.lit(1), F.length("source_span"))
-    grams = [F.transform(starts, _piece(k)) for k in lengths]
-    pieces = spans.select("fact_id", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("alias"))
-    hits = pieces.join(F.broadcast(names), "alias")
-    return hits.groupBy("fact_id").agg(F.min_by("name", F.struct(-F.length("alias"), "name")).alias("company"), F.max(F.length("alias")).alias("alias_length"))
-
-
-def _piece(k: int):
-    return lambda i: F.substring(F.col("source_span"), i, F.lit(k))
+    """Company named in each fact's source span: the longest name or alias that occurs (ties by name)."""
+    names = table(spark, d, "companies").select("name", F.explode(F.concat(F.array("name"), "aliases")).alias("alias")).where("alias is not null")
+    spans = table(spark, d, "facts").select("fact_id", "source_span").distinct()
+    return ft.longest_name(spans, "fact_id", "source_span", [(r["name"], r["alias"]) for r in names.collect()])  # a fixed table
 
 
 def metric_mentions(spark: SparkSession, d: str) -> DataFrame:
