@@ -11,6 +11,11 @@ def rate(condition: Column, digits: int = 6) -> Column:
     return F.round(F.avg(F.coalesce(condition, F.lit(False)).cast("int")), digits)
 
 
+def exact_sum(c: Column) -> Column:
+    """Sum of doubles at six places, the same in any order of rows."""
+    return F.round(F.sum(c.cast("decimal(18,6)")), 4).cast("double")
+
+
 def confusion(rows: DataFrame, score: str, label: Column, thresholds: list[float]) -> DataFrame:
     """Confusion counts and measures of `score >= threshold` for every threshold, in one pass.
 
@@ -51,7 +56,7 @@ def attribution(events: DataFrame, run: str, order: list[str], failed: Column, c
     rows = rows.withColumn("_first", first)
     out = rows.groupBy(run).agg(
         F.count("*").alias("n_steps"), F.count_if("_f").alias("n_failures"), F.first("_first").alias("first_failure"), F.max(F.when(F.col("_new"), F.col("_step"))).alias("root_failure"),
-        F.max(F.when(F.col("_f"), F.col("_step"))).alias("last_failure"), F.round(F.sum(F.when(F.col("_step") < F.col("_first"), F.col(cost))), 4).alias("cost_before"),
+        F.max(F.when(F.col("_f"), F.col("_step"))).alias("last_failure"), exact_sum(F.when(F.col("_step") < F.col("_first"), F.col(cost))).alias("cost_before"),
     )
     return out.withColumn("recovered", (F.col("last_failure") < F.col("n_steps")).cast("int"))
 

@@ -118,7 +118,7 @@ def percentile_latency(spark: SparkSession, d: str) -> DataFrame:
 def api_usage(spark: SparkSession, d: str) -> DataFrame:
     """Tokens (from the properties), latency and failures per run."""
     e = _events(spark, d).withColumn("tokens", F.get_json_object("props", "$.k").cast("bigint"))
-    return e.groupBy("user_id").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.sum("value"), 4).alias("latency"), F.count_if(F.col("event_type") == "error").alias("failures"))
+    return e.groupBy("user_id").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), ms.exact_sum(F.col("value")).alias("latency"), F.count_if(F.col("event_type") == "error").alias("failures"))
 
 
 def api_usage_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +136,7 @@ def failure_first_root(spark: SparkSession, d: str) -> DataFrame:
 
 def failure_summary(spark: SparkSession, d: str) -> DataFrame:
     a = _attributed(spark, d)
-    return a.agg(F.count("*").alias("runs"), F.count_if(F.col("n_failures") > 0).alias("failed_runs"), F.count_if(F.col("recovered") == 1).alias("recovered_runs"), F.sum("n_failures").alias("failures"), F.round(F.avg("cost_before"), 4).alias("mean_cost_before"))
+    return a.agg(F.count("*").alias("runs"), F.count_if(F.col("n_failures") > 0).alias("failed_runs"), F.count_if(F.col("recovered") == 1).alias("recovered_runs"), F.sum("n_failures").alias("failures"), F.round(F.avg("cost_before"), 7).alias("mean_cost_before"))
 
 
 def trajectory_deltas(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +160,7 @@ def pool_new_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_batch_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events per hour and kind; the streaming form is in factloom.streaming."""
-    return _events(spark, d).groupBy(F.date_trunc("hour", "ts").alias("window_start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return _events(spark, d).groupBy(F.date_trunc("hour", "ts").alias("window_start"), "event_type").agg(F.count("*").alias("n"), ms.exact_sum(F.col("value")).alias("total"))
 
 
 def session_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -242,10 +242,10 @@ def _oracle() -> dict[str, str]:
         cf as (select threshold, count(*) filter (where score >= threshold and y) as tp, count(*) filter (where score >= threshold and not y) as fp, count(*) filter (where score < threshold and not y) as tn, count(*) filter (where score < threshold and y) as fn from s, th group by 1),
         sw as (select *, round(case when tp + fp > 0 then tp / (tp + fp) end, 6) as precision, round(case when tp + fn > 0 then tp / (tp + fn) end, 6) as recall, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) end, 6) as f1 from cf)"""
     prof = ver + ", pm as (select 'strict' as profile, cast(score >= 0.8 and missing_figures = 0 as int) as hit from ve union all select 'default', cast(status = 'ENTAILED' as int) from ve union all select 'lenient', cast(score >= 0.4 as int) from ve), pf as (select profile, count(*) as n, sum(hit) as published, round(avg(hit), 6) as rate from pm group by 1)"
-    use = "u as (select user_id, count(*) as calls, sum(cast(json_extract_string(props, '$.k') as bigint)) as tokens, round(sum(value), 4) as latency, count(*) filter (where event_type = 'error') as failures from events group by 1)"
+    use = "u as (select user_id, count(*) as calls, sum(cast(json_extract_string(props, '$.k') as bigint)) as tokens, cast(round(sum(cast(value as decimal(18, 6))), 4) as double) as latency, count(*) filter (where event_type = 'error') as failures from events group by 1)"
     att = """s as (select *, event_type = 'error' as f, row_number() over w as step, coalesce(lag(event_type = 'error') over w, false) as pf from events window w as (partition by user_id order by ts, event_id)),
         s2 as (select *, min(step) filter (where f) over (partition by user_id) as first from s),
-        a as (select user_id, count(*) as n_steps, count(*) filter (where f) as n_failures, min(first) as first_failure, max(step) filter (where f and not pf) as root_failure, max(step) filter (where f) as last_failure, round(sum(value) filter (where step < first), 4) as cost_before from s2 group by 1), b as (select *, cast(last_failure < n_steps as int) as recovered from a)"""
+        a as (select user_id, count(*) as n_steps, count(*) filter (where f) as n_failures, min(first) as first_failure, max(step) filter (where f and not pf) as root_failure, max(step) filter (where f) as last_failure, cast(round(sum(cast(value as decimal(18, 6))) filter (where step < first), 4) as double) as cost_before from s2 group by 1), b as (select *, cast(last_failure < n_steps as int) as recovered from a)"""
     lanes = ", ".join(f"cast(sum(cast(cast('0x' || substring(h, {1 + 8 * i}, 8) as ubigint) as hugeint)) as varchar) as lane_{i}" for i in range(4))
     return {
         "claim_split": f"with {c}, p as (select claim_id, list_filter(list_transform(string_split_regex(text, '[。！？!?；;]'), lambda x: {s_strip('x')}), lambda x: x <> '') as ps from cc where text is not null), q as (select claim_id, unnest(range(len(ps))) as claim_idx, unnest(ps) || '。' as piece from p) select claim_id, claim_idx, {cid('piece')} as atomic_id from q",
@@ -271,11 +271,11 @@ def _oracle() -> dict[str, str]:
         "api_usage": f"with {use} select * from u",
         "api_usage_summary": f"with {use} select count(*) as runs, sum(calls) as calls, round(avg(tokens), 6) as tokens_per_run, round(quantile_cont(latency, 0.5), 4) as p50, round(quantile_cont(latency, 0.95), 4) as p95, round(sum(failures) / sum(calls), 6) as failure_rate from u",
         "failure_first_root": f"with {att} select * from b",
-        "failure_summary": f"with {att} select count(*) as runs, count(*) filter (where n_failures > 0) as failed_runs, count(*) filter (where recovered = 1) as recovered_runs, sum(n_failures) as failures, round(avg(cost_before), 4) as mean_cost_before from b",
+        "failure_summary": f"with {att} select count(*) as runs, count(*) filter (where n_failures > 0) as failed_runs, count(*) filter (where recovered = 1) as recovered_runs, sum(n_failures) as failures, round(avg(cost_before), 7) as mean_cost_before from b",
         "trajectory_deltas": "select event_id, cast(floor((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 1000.0) as bigint) as delta_ms from events",
         "budget_running": "with e as (select event_id, sum(coalesce(cast(json_extract_string(props, '$.k') as bigint), 0)) over (partition by user_id order by ts, event_id rows unbounded preceding) as cum_tokens from events) select *, cast(cum_tokens > 500 as int) as exceeded from e",
         "pool_new_kinds": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events) where k = 1",
-        "stream_batch_windows": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+        "stream_batch_windows": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, cast(round(sum(cast(value as decimal(18, 6))), 4) as double) as total from events group by 1, 2",
         "session_windows": "with g as (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap from events), s as (select *, sum(case when gap is null or gap >= 1800000000 then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from g) select user_id, min(ts) as session_start, max(ts) as session_end, count(*) as n from s group by user_id, s",
         "answer_metrics": "select c_mktsegment, count(*) as n, round(avg(cast(o_orderstatus = 'F' as int)), 6) as finished_rate, round(avg(cast(o_orderpriority = '1-URGENT' as int)), 6) as urgent_rate, round(count(*) filter (where o_orderstatus = 'F' and o_orderpriority = '1-URGENT') / nullif(count(*) filter (where o_orderpriority = '1-URGENT'), 0), 6) as urgent_precision from orders join customer on c_custkey = o_custkey group by 1",
         "badcase_breakdown": "select o_orderstatus, o_orderpriority, count(*) as n from orders where o_orderstatus <> 'F' group by 1, 2",

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.operators.measures import exact_sum
+
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
@@ -26,7 +28,7 @@ def clean(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def windows(events: DataFrame, length: str = "1 hour") -> DataFrame:
     """Events per tumbling window and kind."""
-    out = events.groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    out = events.groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), exact_sum(F.col("value")).alias("total"))
     return out.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
