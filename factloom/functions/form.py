@@ -139,3 +139,12 @@ def blank(c: Column) -> Column:
     return ~F.coalesce(c.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
+
+
+def sql_form(x: str) -> str:
+    """SQL expression of the form for checks, coarser in one point: every letter with a Latin double becomes Latin."""
+    one = {chr(c): v for c, v in _table().items() if c < 0x10000 and chr(c) not in "\n\t" and c > 0x1F}
+    one |= _LOOKS
+    swap = {a: b for a, b in one.items() if b is not None and len(b) == 1}
+    gone = [a for a, b in one.items() if b is None]
+    return f"nfc_normalize(translate({x}, '{''.join(swap)}{''.join(gone)}', '{''.join(swap.values())}'))"

@@ -198,6 +198,7 @@ def convert(facts: DataFrame, metrics: DataFrame) -> DataFrame:
 
     The registry holds one row per metric (a fixed table); Spark decides from its size whether to broadcast it.
     """
+    facts = facts.drop("dimension", "quantity", "unit_used", "unit_from", "factor")  # the operator's own columns win
     known = metrics.select(F.col("metric").alias("_metric"), F.col("dimension").alias("_dimension")).dropDuplicates(["_metric"])
     out = facts.join(known, facts["metric"] == known["_metric"], "left")
     q = _quantity(F.col("raw_value"), F.col("unit"), F.col("_dimension"))

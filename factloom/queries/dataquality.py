@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.form import sql_form
 from factloom.operators import orphans, units
 from factloom.session import table
 
@@ -49,3 +50,27 @@ def p4_units_seen(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_orphan_counts, p4_found, p4_units_seen)}
+
+
+def _key(x: str) -> str:
+    return f"lower(trim({sql_form(x)}))"
+
+
+def _some(x: str) -> str:
+    return f"regexp_matches({x}, '[\\p{{L}}\\p{{N}}]')"
+
+
+_REFS = " union all ".join(
+    f"select '{t}' as src_table, {k} as src_key, '{t}.{f}' as ref_field, r as ref_key, '{target}' as target, loaded_at from (select {k}, loaded_at, {e} as r from {t}) where r is not null and {_some('r')}"
+    for t, k, f, e, target in (("facts", "fact_id", "evidence_id", "evidence_id", "e"), ("facts", "fact_id", "doc_id", "doc_id", "d"), ("chunks", "chunk_id", "parent_chunk_id", "parent_chunk_id", "p"), ("claims", "claim_id", "evidence_ids", "unnest(evidence_ids)", "e"))
+)
+_ORPHANS = f"""with r0 as ({_REFS}), r as (select src_table, src_key, ref_field, ref_key, target, {_key('ref_key')} as k, min(loaded_at) as t from r0 group by all),
+    p as (select 'e' as target, {_key('chunk_id')} as k, loaded_at as a, deleted_at as b from chunks union all select 'e', {_key('evidence_id')}, loaded_at, deleted_at from chunks where evidence_id is not null and {_some('evidence_id')}
+      union all select 'p', {_key('chunk_id')}, loaded_at, deleted_at from chunks union all select 'd', {_key('doc_id')}, loaded_at, deleted_at from doc_manifest),
+    alive as (select distinct r.src_key, r.ref_field, r.ref_key from r join p on p.target = r.target and p.k = r.k and p.a <= r.t and (p.b is null or p.b > r.t)),
+    now as (select distinct target, k from p where b is null), dead as (select r.*, alive.src_key is null as dead, now.k is null as open from r left join alive on alive.src_key = r.src_key and alive.ref_field = r.ref_field and alive.ref_key = r.ref_key left join now on now.target = r.target and now.k = r.k)"""
+
+ORACLE_SQL = {
+    "p1_found": f"{_ORPHANS} select src_table, src_key, ref_field, ref_key from dead where dead",
+    "p1_orphan_counts": f"{_ORPHANS} select src_table, ref_field, strftime(t, '%Y-%m') as month, count(*) as n_refs, count(*) filter (where dead) as n_dead, count(*) filter (where open) as n_open from dead group by 1, 2, 3",
+}

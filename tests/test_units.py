@@ -39,7 +39,7 @@ def test_segmentation_prefers_fitting_roots():
 def test_frame_with_odd_rows(spark):
     metrics = spark.createDataFrame([("revenue", "currency"), ("revenue", "currency"), ("roe", "percentage")], "metric string, dimension string")
     rows = [("a", "revenue", "1亿", None), ("a", "revenue", "1亿", None), ("b", None, "1", "元"), ("c", "roe", None, None), ("d", "roe", "x" * 100_000, "%"), ("e", "nope", "1", "元")]
-    df = spark.createDataFrame(rows, "fact_id string, metric string, raw_value string, unit string").selectExpr("*", "'mine' as dimension_", "1 as _extra")
+    df = spark.createDataFrame(rows, "fact_id string, metric string, raw_value string, unit string").selectExpr("*", "'mine' as dimension", "1 as quantity", "1 as _extra")
     out = convert(df, metrics)
     assert out.count() == 6
     assert [r.quantity for r in out.where("fact_id = 'a'").collect()] == [Decimal(10**8)] * 2
