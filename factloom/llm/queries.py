@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import lookalikes, mixing, packing, site_lines, subjects, survivors, tokens
+from factloom.functions.form import sql_form
 from factloom.session import materialize, table
 
 
@@ -110,3 +111,20 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_stripped, p5_found, p5_survivors, p6_packing, p6_utilisation, p7_mix, p7_shares, p8_found, p8_composition)}
+
+_SURVIVORS = f"""with n as (select company_id, unnest(list_concat([name], coalesce(aliases, []))) as name from companies), f0 as (select fact_id, {sql_form('company')} as name, doc_id, metric, period, source_date, revision_status, value_type, accounting_scope, min(loaded_at) as t from facts group by all),
+    f1 as (select fact_id, company_id, doc_id, metric, period, case when source_date <= cast(t as date) then date_diff('day', date '1900-01-01', source_date) else -1 end as d,
+      coalesce((select max(trust) from field_trust where field_name = 'revision_status' and lower(trim(field_value)) = lower(trim(revision_status))), -1) as a,
+      coalesce((select max(trust) from field_trust where field_name = 'value_type' and lower(trim(field_value)) = lower(trim(value_type))), -1) as b,
+      coalesce((select max(trust) from field_trust where field_name = 'accounting_scope' and lower(trim(field_value)) = lower(trim(accounting_scope))), -1) as c from f0 join n on n.name = trim(f0.name)),
+    g as (select *, min(fact_id) over w as group_id, count(*) over w as n, max(d) over w as md, max(a) over w as ma, max(b) over w as mb, max(c) over w as mc from f1 window w as (partition by doc_id, company_id, metric, period)),
+    top as (select group_id, min(fact_id) as fact_id from g where n > 1 and d = md and a = ma and b = mb and c = mc group by 1 having count(*) = 1)"""
+
+_LINES = f"""with l as (select chunk_id, doc_id, source_type, regexp_extract(file_name, '^[^_]*_[^_]*_[^_]*_([^：]*)：', 1) as site, unnest(range(len(ls))) + 1 as line_no, regexp_replace(unnest(ls), '[\\s0-9]+', '', 'g') as k from (select *, string_split({sql_form('text')}, chr(10)) as ls from chunks)),
+    s as (select source_type, site, count(distinct doc_id) as docs from l group by 1, 2), c as (select source_type, site, k, count(distinct doc_id) as n from l group by 1, 2, 3),
+    bad as (select c.source_type, c.site, c.k from c join s on c.source_type = s.source_type and c.site = s.site where n >= 5 and n * 10 >= docs)"""
+
+ORACLE_SQL = {
+    "p3_found": f"{_LINES} select distinct chunk_id, cast(line_no as int) as line_no from l join bad on l.source_type = bad.source_type and l.site = bad.site and l.k = bad.k",
+    "p5_found": f"{_SURVIVORS} select group_id, fact_id from top",
+}
