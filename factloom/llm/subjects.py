@@ -86,7 +86,7 @@ def cut(texts: list[str]) -> Terms:
     two = np.flatnonzero(han[:-1] & han[1:])
     bigram = codes[two] * 65536 + codes[two + 1]
     lower = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
-    letter = ((lower >= 97) & (lower <= 122)) | ((codes >= 0xC0) & (codes <= 0x24F))
+    letter = ((lower >= 97) & (lower <= 122)) | ((codes >= 0xC0) & (codes <= 0x24F)) | (codes == 0x5F)  # a name like my_feed is one word
     first = np.flatnonzero(letter & ~np.concatenate(([False], letter[:-1])))
     words = pairs = at_pairs = np.zeros(0, dtype=np.int64)
     if len(first):
@@ -131,7 +131,7 @@ _POWERS = np.array([pow(0x100000001B3, k + 1, 2**64) for k in range(32)], dtype=
 
 def spell(codes: np.ndarray, start: int, term: int) -> str:
     """The word or two words that start here."""
-    words = re.findall(r"[A-Za-zÀ-ɏ]+", "".join(map(chr, codes[start : start + 70])))
+    words = re.findall(r"[A-Za-zÀ-ɏ_]+", "".join(map(chr, codes[start : start + 70])))
     return " ".join(words[: 1 + (term >= _PAIR)]).lower()
 
 

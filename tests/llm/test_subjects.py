@@ -58,6 +58,8 @@ def test_cut_sentences_and_terms():
     words = {sb.spell(t.codes, a, x) if x >= sb._WORD else chr(x >> 16) + chr(x & 0xFFFF) for a, x in zip(t.start, t.term.tolist(), strict=True)}
     assert {"净息", "息差", "net", "interest margin", "ab"} <= words and "margin rose" in words
     assert len({s for s, d in zip(t.sentence, t.doc, strict=True) if d == 0}) == 2  # the lone last character is no term
+    parts = sb.cut(["来源：my_feed"])
+    assert set(sb.cut(["feed"]).term.tolist()).isdisjoint(parts.term.tolist())  # a part of a name is no word
     same = sb.cut(["NET Interest"])
     assert set(same.term.tolist()) <= set(t.term.tolist())
 
