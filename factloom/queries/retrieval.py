@@ -143,7 +143,7 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_overlap_join(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of different strategies of one report whose page intervals overlap: pages as keys, not a theta join."""
+    """Parent chunks cut by title beside those that protect tables, where their pages overlap; `page_overlap_all` has every pair."""
     c = table(spark, d, "chunks").where("granularity = 'parent' and page_start is not null and page_end >= page_start").select("doc_id", "chunk_id", "strategy_name", "page_start", "page_end").distinct()
     p = c.withColumn("page", F.explode(F.sequence("page_start", "page_end")))
     a = p.where("strategy_name = 'title_aware'").select("doc_id", "page", F.col("chunk_id").alias("a_id"))
@@ -151,6 +151,20 @@ def page_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["doc_id", "page"]).groupBy("a_id", "b_id").agg(F.count("*").alias("n_pages"))
 
 
+def page_overlap_all(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of different strategies of one report whose page intervals overlap: pages as keys, not a theta join.
+
+    Every strategy and granularity takes part; a pair stands once, in order of the strategies' names.  Only chunks without
+    valid pages or strategy are in no pair.
+    """
+    c = table(spark, d, "chunks").where("page_start is not null and page_end >= page_start and strategy_name is not null")
+    kept = ("chunk_id", "strategy_name", "granularity")
+    p = c.select("doc_id", *kept, F.explode(F.sequence("page_start", "page_end")).alias("page")).distinct()
+    a, b = (p.select("doc_id", "page", *[F.col(k).alias(f"{side}_{k.removeprefix('chunk_').removesuffix('_name')}") for k in kept]) for side in "ab")
+    pairs = a.join(b, ["doc_id", "page"]).where("a_strategy < b_strategy")
+    return pairs.groupBy("a_id", "b_id", "a_strategy", "b_strategy", "a_granularity", "b_granularity").agg(F.count_distinct("doc_id", "page").alias("n_pages"))
+
+
 def seed_evenly_spaced(spark: SparkSession, d: str) -> DataFrame:
     """Five evenly spaced documents of each source by id (rank positions, ends included)."""
     t = table(spark, d, "documents").where("source is not null").select("doc_id", F.lower(F.trim("source")).alias("source"))
@@ -168,7 +182,7 @@ def stratified_subset(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("rk", F.row_number().over(w)).where("rk <= 10").select("source", "lang", "doc_id", "rk")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, dense_topk, hybrid_topk, scoped_search, domain_priority, rerank_candidates, retrieval_metrics, retrieval_badcases, doc_candidates, diverse_docs, evidence_select, citations, page_overlap_join, seed_evenly_spaced, stratified_subset)}
+QUERIES = {f.__name__: f for f in (bm25_topk, dense_topk, hybrid_topk, scoped_search, domain_priority, rerank_candidates, retrieval_metrics, retrieval_badcases, doc_candidates, diverse_docs, evidence_select, citations, page_overlap_join, page_overlap_all, seed_evenly_spaced, stratified_subset)}
 
 
 def _words(n: str) -> str:
@@ -223,6 +237,9 @@ def _oracle() -> dict[str, str]:
             select claim_id, pos, e.ref, chunk_id, substring({n}, 1, 180) || case when length({n}) > 180 then '...' else '' end as snippet from e join r on e.ref = r.ref and k = 1 where e.ref is not null""",
         "page_overlap_join": """with c as (select distinct doc_id, chunk_id, strategy_name, page_start, page_end from chunks where granularity = 'parent' and page_start is not null and page_end >= page_start)
             select a.chunk_id as a_id, b.chunk_id as b_id, least(a.page_end, b.page_end) - greatest(a.page_start, b.page_start) + 1 as n_pages from c a join c b on a.doc_id = b.doc_id and greatest(a.page_start, b.page_start) <= least(a.page_end, b.page_end) where a.strategy_name = 'title_aware' and b.strategy_name = 'table_protected'""",
+        "page_overlap_all": """with c as (select distinct doc_id, chunk_id, strategy_name, granularity, page_start, page_end from chunks where page_start is not null and page_end >= page_start)
+            select a.chunk_id as a_id, b.chunk_id as b_id, a.strategy_name as a_strategy, b.strategy_name as b_strategy, a.granularity as a_granularity, b.granularity as b_granularity, least(a.page_end, b.page_end) - greatest(a.page_start, b.page_start) + 1 as n_pages
+            from c a join c b on a.doc_id = b.doc_id and a.strategy_name < b.strategy_name and greatest(a.page_start, b.page_start) <= least(a.page_end, b.page_end)""",
         "seed_evenly_spaced": """with t as (select lower(trim(source)) as source, doc_id, row_number() over (partition by lower(trim(source)) order by doc_id) - 1 as i, count(*) over (partition by lower(trim(source))) as n from documents where source is not null),
             w as (select distinct source, n, unnest(range(least(n, 5))) as ordinal from t) select t.source, cast(ordinal as int) as ordinal, doc_id from w join t on t.source = w.source and t.i = case when w.n <= 5 then ordinal else cast(floor(ordinal * (w.n - 1) / 4.0 + 0.5) as bigint) end""",
         "stratified_subset": "with r as (select coalesce(lower(trim(source)), '') as source, coalesce(lower(lang), '') as lang, doc_id, row_number() over (partition by coalesce(lower(trim(source)), ''), coalesce(lower(lang), '') order by published_at nulls first, doc_id) as rk from documents) select * from r where rk <= 10",
