@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
+from factloom.functions.form import form
 from factloom.operators import facts as ft
+from factloom.operators import units
 from factloom.session import table
 
 
@@ -60,12 +62,34 @@ def structured_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structured_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Companies ranked within each metric and fiscal year by their actual value."""
+    """Companies ranked within each metric and fiscal year by their actual value, as recorded in exactly 元; `structured_compare_units` ranks all."""
     rows = _coords(spark, d).where("kind = 'FY' and value_type = 'actual' and unit = '元'").withColumn("value", F.col("value").cast("double"))
     w = Window.partitionBy("metric", "year").orderBy(F.desc("value"), "company")
     return rows.withColumn("rk", F.row_number().over(w)).where("rk <= 5").select("metric", "year", "company", "value", "rk")
 
 
+def _ranked_quantities(facts: DataFrame, metrics: DataFrame, companies: DataFrame) -> DataFrame:
+    """Actual FY values of every metric in its common unit, ranked within metric and year.
+
+    A company is its spelling in `companies`, found by name or alias in the project's form; unlisted ones stay in their own
+    form.  Its value is that of its earliest record with a readable quantity; one without any has no rank.
+    """
+    rows = units.convert(facts.where("kind = 'FY' and value_type = 'actual' and company is not null"), metrics).where("quantity is not null")
+    names = companies.select(F.col("name").alias("_listed"), F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array()))).alias("_name")).where("_name is not null")
+    names = names.groupBy("_name").agg(F.min("_listed").alias("_listed"))
+    rows = rows.withColumn("_name", F.trim(form(F.col("company")))).join(names, "_name", "left").withColumn("company", F.coalesce("_listed", "_name"))
+    rows = ft.one_per_coordinate(rows.withColumn("value", F.col("quantity")))
+    w = Window.partitionBy("metric", "year").orderBy(F.desc("value"), "company")
+    known = metrics.groupBy("metric").agg(F.min("common_unit").alias("common_unit"))
+    rows = rows.withColumn("rk", F.row_number().over(w)).join(known, "metric")
+    return rows.select("metric", "year", "company", F.col("value").cast("double").alias("value"), F.col("common_unit").alias("unit"), "rk")
+
+
+def structured_compare_units(spark: SparkSession, d: str) -> DataFrame:
+    """The five leading companies of every metric and fiscal year, whatever unit their values are recorded in."""
+    return _ranked_quantities(_facts(spark, d), table(spark, d, "metric_registry"), table(spark, d, "companies")).where("rk <= 5")
+
+
 def structured_trend(spark: SparkSession, d: str) -> DataFrame:
     """Direction of each company's metric over its fiscal years (three values at least)."""
     rows = _coords(spark, d).where("kind = 'FY' and value_type = 'actual'")
@@ -187,7 +211,7 @@ def metric_mentions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        facts_build, facts_upsert, facts_query_filters, facts_provenance_gaps, value_type_spans, period_normalize, structured_lookup, structured_compare, structured_trend, operand_requirements,
+        facts_build, facts_upsert, facts_query_filters, facts_provenance_gaps, value_type_spans, period_normalize, structured_lookup, structured_compare, structured_compare_units, structured_trend, operand_requirements,
         operand_resolution, calc_yoy, calc_qoq, calc_cagr, calc_margins, calc_ratio, calc_difference, calc_percentage_points, calc_status_cascade, growth_compare, fact_lines, entity_resolve, metric_mentions,
     )
 }
