@@ -7,12 +7,13 @@ rows; the helper below works on one value at a time and keeps the cuts of unit t
 
 Null or unreadable values, unknown metrics and units that do not fit the metric give a null quantity.  If the value
 prints a unit, `unit` is not consulted; if neither gives one, the quantity is null.  Very long texts are read whole.
+A quantity has at most 26 digits before the point, as its column holds; a larger one is null.
 """
 
 from __future__ import annotations
 
 import re
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal, InvalidOperation, localcontext
 from functools import lru_cache
 
 import pandas as pd
@@ -178,19 +179,29 @@ def quantity(raw: str | None, unit: str | None, dimension: str | None) -> tuple[
         return none
 
 
-_NUMERIC = T.DecimalType(34, 12)
-QUANTITY = T.StructType([T.StructField("quantity", _NUMERIC), T.StructField("unit_used", T.StringType()), T.StructField("unit_from", T.StringType()), T.StructField("factor", _NUMERIC)])
+#: Digits of the exact arithmetic: those of the column, and as many again for products and shares before rounding.
+DIGITS_HELD = 76
+_NUMERIC, _EXACT = T.DecimalType(34, 12), T.DecimalType(38, 12)
+QUANTITY = T.StructType([T.StructField("quantity", _EXACT), T.StructField("unit_used", T.StringType()), T.StructField("unit_from", T.StringType()), T.StructField("factor", _NUMERIC)])
 
 
 @F.pandas_udf(QUANTITY)
 def _quantity(raw: pd.Series, unit: pd.Series, dimension: pd.Series) -> pd.DataFrame:
     step = Decimal(1).scaleb(-12)
 
-    def fit(x: Decimal | None) -> Decimal | None:
-        return None if x is None or abs(x) >= 10**15 else x.quantize(step)
+    def fit(x: Decimal | None, kind: T.DecimalType) -> Decimal | None:
+        return None if x is None or abs(y := x.quantize(step)) >= 10 ** (kind.precision - kind.scale) else y
 
-    rows = [quantity(a, b, c) for a, b, c in zip(raw, unit, dimension, strict=True)]
-    return pd.DataFrame({"quantity": [fit(r[0]) for r in rows], "unit_used": [r[1] for r in rows], "unit_from": [r[2] for r in rows], "factor": [fit(r[3]) for r in rows]}, dtype=object)
+    def one(a: str | None, b: str | None, c: str | None) -> tuple:
+        x, name, source, factor = quantity(a, b, c)
+        try:
+            return fit(x, _EXACT), name, source, fit(factor, _NUMERIC)
+        except InvalidOperation:  # more digits than the context holds
+            return None, name, source, None
+
+    with localcontext(prec=DIGITS_HELD):
+        rows = [one(a, b, c) for a, b, c in zip(raw, unit, dimension, strict=True)]
+    return pd.DataFrame({n: [r[i] for r in rows] for i, n in enumerate(("quantity", "unit_used", "unit_from", "factor"))}, dtype=object)
 
 
 def convert(facts: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime
 from decimal import Decimal
 
 import __spark_entry__ as entry
+from factloom.operators import units
 
 
 def save(spark, folder, name, rows, schema):
@@ -39,3 +40,15 @@ def test_companies_are_ranked_whatever_the_unit(spark, tmp_path):
     got = {m: [(r.company, r.value) for r in sorted(out, key=lambda r: r.rk) if r.metric == m] for m in ("revenue", "roe", "eps")}
     assert got["revenue"] == [("large", 3.5e8), ("rmb", 1e6), ("printed", 2e4), ("blank", 1000.0), ("small", 900.0)]
     assert got["roe"] == [("a", 20.0), ("b", 19.0)] and got["eps"] == [("b", 2.0), ("a", 1.0)]
+
+
+def test_large_amounts_keep_their_quantity(spark, tmp_path):
+    raw = {"a": "1,200万亿元", "b": "1234567890123456789012345.123456元", "c": "1200万亿元", "d": "9" * 26 + "亿元", "e": "9" * 90 + "元", "f": "1.2元"}
+    stored = {"a": "1200", "b": "1234567890123456789012345.123457", "c": "1200000000000000", "d": "1", "e": "1", "f": "1.2"}
+    rows = [(i, "revenue", Decimal(stored[i]), raw[i], None) for i in raw]
+    save(spark, tmp_path, "facts", rows, "fact_id string, metric string, value decimal(38,6), raw_value string, unit string")
+    save(spark, tmp_path, "metric_registry", [("revenue", "currency", "元")], "metric string, dimension string, common_unit string")
+    q = units.convert(spark.read.parquet(f"{tmp_path}/facts.parquet"), spark.read.parquet(f"{tmp_path}/metric_registry.parquet"))
+    got = {r.fact_id: r.quantity for r in q.collect()}
+    assert got == {"a": Decimal("1.2E15"), "b": Decimal("1234567890123456789012345.123456"), "c": Decimal("1.2E15"), "d": None, "e": None, "f": Decimal("1.2")}
+    assert {r.fact_id for r in entry.queries()["p4_found"](spark, str(tmp_path)).collect()} == {"a", "b"}
