@@ -30,9 +30,10 @@ def _site() -> Column:
     return F.struct(F.col("source_type"), site_lines.publisher(F.col("file_name")))
 
 
-def _line_state(chunks: DataFrame, rows: DataFrame | None = None) -> site_lines.LineState:
+def _line_state(spark: SparkSession, chunks: DataFrame, rows: DataFrame | None = None) -> site_lines.LineState:
+    """The whole table as one delta upon the empty state."""
     rows = site_lines.lines(chunks, _site(), "doc_id", "text") if rows is None else rows
-    return site_lines.build(rows, site_lines.source_sizes(chunks, _site(), "doc_id"))
+    return site_lines.merge(site_lines.LineState.empty(spark), rows, site_lines.source_sizes(chunks, _site(), "doc_id"))[0]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,13 +41,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     rows = site_lines.lines(chunks.select("chunk_id", "doc_id", "source_type", "file_name", "text"), _site(), "doc_id", "text", keep=["chunk_id"])
     rows = materialize(rows, "lines")  # texts are read once; counting and marking use the hashed lines
-    return site_lines.mark(rows, _line_state(chunks, rows).excessive()).select("chunk_id", "line_no").distinct()
+    return site_lines.mark(rows, _line_state(spark, chunks, rows).excessive()).select("chunk_id", "line_no").distinct()
 
 
 def p3_stripped(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk with its site lines taken out."""
+    """Every chunk with its site lines taken out; one full load has no earlier result that `affected` could spare."""
     chunks = table(spark, d, "chunks")
-    out = site_lines.strip(chunks, _site(), "text", _line_state(chunks).excessive())
+    out = site_lines.strip(chunks, _site(), "text", _line_state(spark, chunks).excessive())
     return out.select("chunk_id", "doc_id", "loaded_at", "deleted_at", "text", "lines_removed")
 
 
