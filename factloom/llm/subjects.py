@@ -29,8 +29,8 @@ from factloom.functions.form import to_form
 from factloom.session import materialize
 
 SHARE, GENERAL = 0.2, "general"
-#: Size of the model: topical terms, leaves, rounds of sharpening.
-VOCABULARY, LEAVES, ROUNDS = 4096, 64, 3
+#: Size of the model: leaves, rounds of sharpening.  Every topical term is in it; MIN_DF bounds how many there can be.
+LEAVES, ROUNDS = 64, 3
 #: A term must stand in a share of documents between these (and in 3 at least) and gather this much more than chance.
 MIN_DF, MAX_DF, MIN_GATHERING = 0.0008, 0.6, 1.35
 # Everyday words of each subject, by which leaves without raters' labels are still named.
@@ -207,7 +207,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     least = max(3.0, MIN_DF * max(n_docs.values(), default=0))
     most = F.when(is_han, MAX_DF * n_docs[True]).otherwise(MAX_DF * n_docs[False])
     chosen = counts.where("term >= 0").where((F.col("df") >= least) & (F.col("df") <= most)).withColumn("gathering", gathering).where(F.col("gathering") >= MIN_GATHERING)
-    return chosen.orderBy(F.desc(F.col("gathering") * F.log("df")), "term").limit(VOCABULARY)
+    return chosen
 
 
 @dataclass
@@ -227,7 +227,7 @@ class Slots:
 
 def subject_sentences(texts: DataFrame, slots: Slots) -> DataFrame:
     """Per document, the slots of its topical terms sentence by sentence, with BREAK after each sentence that has any."""
-    known = texts.sparkSession.sparkContext.broadcast(slots)  # at most VOCABULARY terms
+    known = texts.sparkSession.sparkContext.broadcast(slots)  # the topical terms
 
     def find(batches):
         for b in batches:
@@ -237,8 +237,8 @@ def subject_sentences(texts: DataFrame, slots: Slots) -> DataFrame:
                 terms = cut(values[i:j])
                 slot = known.value.find(terms.term)
                 hit = np.flatnonzero(slot >= 0)
-                key = np.unique(terms.sentence[hit] * 2**20 + slot[hit])  # repeats within a sentence count once
-                sentence, slot = key >> 20, (key & (2**20 - 1)).astype(np.int32)
+                key = np.unique(terms.sentence[hit] * 2**31 + slot[hit])  # repeats within a sentence count once
+                sentence, slot = key >> 31, (key & (2**31 - 1)).astype(np.int32)
                 doc_of = np.zeros(int(terms.sentence.max(initial=0)) + 1, dtype=np.int64)
                 doc_of[terms.sentence] = terms.doc
                 ends = np.flatnonzero(np.append(sentence[1:] != sentence[:-1], True)) + 1 if len(sentence) else np.zeros(0, dtype=np.int64)
@@ -434,7 +434,7 @@ def assign(sentences: DataFrame, model: Model, labels: DataFrame) -> DataFrame:
 def prepare(documents: DataFrame) -> tuple[DataFrame, Slots]:
     """Topical sentences of every document with a text, and the vocabulary behind them."""
     texts = documents.where(F.col("text").rlike(r"\S")).select("doc_id", "text")
-    words = vocabulary(texts).orderBy("term").collect()  # at most VOCABULARY rows
+    words = vocabulary(texts).orderBy("term").collect()  # the topical terms, each in MIN_DF of the documents
     slots = Slots(np.array([r["term"] for r in words], dtype=np.int64), [r["example"] for r in words])
     return materialize(subject_sentences(texts, slots), "subject-sentences"), slots
 
