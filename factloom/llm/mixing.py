@@ -129,11 +129,17 @@ def draw(sized: DataFrame, targets: DataFrame, cut, budget: int | None = None) -
 
 
 def report(drawn: DataFrame, plans: DataFrame) -> DataFrame:
-    """Target and reached share, tokens and greatest repetition of every wanted source of every mix."""
+    """Target and reached share, tokens and greatest repetition of every wanted source of every mix.
+
+    `mix_tokens` beside `mix_allowed_tokens` shows how much of what the repetition limits allow a mix leaves out.
+    """
     got = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("times")).alias("reached_tokens"), F.count("*").alias("documents"), F.max("times").alias("most_times"))
     out = plans.join(got, ["mix_id", "source"], "left").withColumn("reached_tokens", F.coalesce("reached_tokens", F.lit(0)))
-    total = F.sum("reached_tokens").over(Window.partitionBy("mix_id"))
+    mix = Window.partitionBy("mix_id")
+    total = F.sum("reached_tokens").over(mix)
+    out = out.withColumn("allowed_tokens", F.when(F.col("target_share") > 0, F.col("max_repeats") * F.col("available")).otherwise(F.lit(0)))
     return out.select(
         "mix_id", "source", "target_share", (F.col("reached_tokens") / total).alias("reached_share"), "reached_tokens", F.coalesce("documents", F.lit(0)).alias("documents"),
         F.coalesce("most_times", F.lit(0)).alias("most_times"), "max_repeats", "available", "exponent", "tempered_share", "at_limit",
+        "allowed_tokens", total.alias("mix_tokens"), F.sum("allowed_tokens").over(mix).alias("mix_allowed_tokens"),
     )
