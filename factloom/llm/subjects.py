@@ -1,16 +1,19 @@
-"""Subject areas of documents: bisecting k-means over document vectors, leaves labelled by raters and their terms.
+"""Subject areas of documents: bisecting k-means over document vectors, leaves labelled by their discriminative terms.
 
 Terms are Han bigrams, Latin words and pairs of Latin words, cut from whole texts with array operations per batch.
 1. Vocabulary: a term is topical if it gathers in fewer documents than its frequency would spread it over (residual
    inverse document frequency), counted over the whole corpus.  Words of templates, names and site lines spread evenly.
 2. Every document becomes a normalised vector of its topical terms; bisecting k-means clusters all of them.
-3. A leaf is labelled by the raters of its documents and by its discriminative terms, matched with naming words.
+3. A leaf's discriminative terms are compared with those of the documents that raters gave each subject; how alike they
+   are gives the leaf's mixture of subjects.  No word list is part of the code: a subject is what its raters say.
 4. A term's subject mixture is the mixture of its leaves; a sentence concerns the subject that its terms' mixtures
    favour, and counting terms over sentences so judged sharpens the mixtures (a few rounds over the whole corpus).
-5. A document treats the subjects that at least SHARE of its subject sentences concern, else `general`.
+5. A document treats the subjects that at least SHARE of its subject sentences concern, else `general`.  A document's
+   own label is not consulted for its row.
 
 Only models of bounded size (vocabulary x subjects, vocabulary x leaves) pass through the driver.  Null and blank texts
-have no row; texts are read whole; a table without labels leaves every document `general`.
+have no row; texts are read whole; a table without labels leaves every document `general`, and so does a subject
+without any label to its documents.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.sql import DataFrame
@@ -33,25 +37,10 @@ SHARE, GENERAL = 0.2, "general"
 LEAVES, ROUNDS = 64, 3
 #: A term must stand in a share of documents between these (and in 3 at least) and gather this much more than chance.
 MIN_DF, MAX_DF, MIN_GATHERING = 0.0008, 0.6, 1.35
-# Everyday words of each subject, by which leaves without raters' labels are still named.
-SEEDS = {
-    "semiconductor": "芯片 晶圆 光刻 封装 半导体 集成电路 制程 chip wafer lithography semiconductor foundry etching packaging",
-    "new_energy": "光伏 风电 储能 电池 逆变器 充电桩 氢能 solar wind battery turbine hydrogen inverter charging",
-    "consumer": "零售 商超 品牌 促销 家电 饮料 客单价 retailer brand beverage snack appliance promotion loyalty",
-    "liquor": "白酒 酱香 浓香 窖池 批价 酒厂 年份酒 baijiu distillery vintage cellar liquor spirits banquet",
-    "agriculture": "生猪 玉米 豆粕 饲料 化肥 种子 屠宰 hog corn soymeal seed fertilizer slaughter acreage",
-    "healthcare": "医保 集采 创新药 疫苗 临床 门诊 诊断 hospital patient vaccine clinical drug reagent antibody",
-    "banking": "存款 信贷 净息差 拨备 理财 保费 赔付 deposit loan bank premium provision insurer mortgage",
-    "software": "代码 数据库 云平台 开源 订阅 接口 大模型 software database cloud codebase subscription interface deployment",
-    "real_estate": "商品房 住宅 拿地 竣工 物业 租金 水泥 housing developer property cement tenant completion land",
-    "law_regulation": "诉讼 法院 仲裁 监管 处罚 合规 判决 lawsuit court arbitration compliance penalty ruling regulator",
-    "macro_policy": "通胀 财政 货币 关税 社融 就业 出口 inflation fiscal monetary tariff employment exports credit",
-    "sport_leisure": "赛事 球员 俱乐部 门票 票房 滑雪 酒店 league club ticket ski hotel resort athlete",
-    "science_research": "论文 实验室 假说 基因 显微镜 观测 量子 laboratory hypothesis genome microscope quantum peer paper",
-    "transport": "铁路 港口 机场 快递 航线 集装箱 仓储 airport railway port parcel freight container vessel",
-}
-#: Raters' labels that the naming words of a leaf weigh as much as.
-SEED_WEIGHT = 3.0
+#: How sharply a leaf's mixture follows the likeness of its discriminative terms to those of each subject.
+SHARPNESS = 4
+#: A term is discriminative where it stands this many times as often as in the whole corpus.
+LIFT = 2.0
 BREAK = -1
 _WORD, _PAIR = 1 << 62, 1 << 62 | 1 << 61
 _END = np.zeros(0x3010, dtype=bool)
@@ -93,7 +82,7 @@ def cut(texts: list[str]) -> Terms:
         last = np.flatnonzero(letter & ~np.append(letter[1:], False))
         number = np.cumsum(_flags(len(codes), first))
         place = np.maximum(np.arange(len(codes)) - first[np.maximum(number - 1, 0)], 0)
-        weight = _POWERS[np.minimum(place, 31)]
+        weight = _powers(int((last - first).max()) + 1)[np.minimum(place, int((last - first).max()))]
         value = np.where(letter, (lower.astype(np.uint64) + np.uint64(7)) * weight, np.uint64(0))
         words = (np.add.reduceat(value, first) >> np.uint64(3)).astype(np.int64) | _WORD
         next_to = (first[1:] - last[:-1] == 2) & (codes[first[1:] - 1] == 0x20)
@@ -126,13 +115,23 @@ def _flags(n: int, at: np.ndarray) -> np.ndarray:
     return out
 
 
-_POWERS = np.array([pow(0x100000001B3, k + 1, 2**64) for k in range(32)], dtype=np.uint64)
+def _powers(n: int) -> np.ndarray:
+    """A weight of its own for every place of the longest word (powers of an odd number, modulo 2**64)."""
+    return np.multiply.accumulate(np.full(n, 0x100000001B3, dtype=np.uint64))
 
 
 def spell(codes: np.ndarray, start: int, term: int) -> str:
-    """The word or two words that start here."""
-    words = re.findall(r"[A-Za-zÀ-ɏ_]+", "".join(map(chr, codes[start : start + 70])))
-    return " ".join(words[: 1 + (term >= _PAIR)]).lower()
+    """The word or two words that start here, whole."""
+    size = 70
+    while True:
+        piece = "".join(map(chr, codes[start : start + size]))
+        words = list(_LETTERS.finditer(piece, 0))[: 1 + (term >= _PAIR)]
+        if words[-1].end() < len(piece) or start + size >= len(codes):
+            return " ".join(m.group() for m in words).lower()
+        size *= 4
+
+
+_LETTERS = re.compile("[A-Za-zÀ-ɏ_]+")
 
 
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -259,9 +258,15 @@ def vectors(sentences: DataFrame, n: int) -> DataFrame:
 
 
 def leaves(points: DataFrame, k: int = LEAVES) -> DataFrame:
-    """`doc_id` and `leaf` of every document by bisecting k-means with cosine distance."""
+    """`doc_id` and `leaf` of every document by bisecting k-means with cosine distance.
+
+    The vectors are written once, and the many passes of the clustering read them from there or from memory.
+    """
+    points = materialize(points, "vectors").persist(StorageLevel.MEMORY_AND_DISK)
     model = BisectingKMeans(k=k, maxIter=8, seed=11, distanceMeasure="cosine", predictionCol="leaf").fit(points)
-    return model.transform(points).select("doc_id", "leaf")
+    placed = materialize(model.transform(points).select("doc_id", "leaf"), "leaves")
+    points.unpersist()
+    return placed
 
 
 def rated(labels: DataFrame, names: list[str]) -> DataFrame:
@@ -287,10 +292,10 @@ def _flat(sentences: list[np.ndarray], keep: np.ndarray | None = None) -> tuple[
     return slots, starts, doc[starts]
 
 
-def judge(slots: np.ndarray, starts: np.ndarray, doc: np.ndarray, n_docs: int, logs: np.ndarray, prior: np.ndarray, turns: int = 3) -> np.ndarray:
+def judge(slots: np.ndarray, starts: np.ndarray, doc: np.ndarray, n_docs: int, logs: np.ndarray, turns: int = 3) -> np.ndarray:
     """Probability of each subject for each sentence: its terms' mixtures and the other sentences of its document."""
     likelihood = np.add.reduceat(logs[slots], starts, axis=0)
-    theta = prior
+    prior = theta = np.full((n_docs, logs.shape[1]), 1.0 / logs.shape[1])
     for _ in range(turns):
         p = likelihood + np.log(theta[doc])
         p = np.exp(p - p.max(axis=1, keepdims=True))
@@ -301,16 +306,6 @@ def judge(slots: np.ndarray, starts: np.ndarray, doc: np.ndarray, n_docs: int, l
     return p
 
 
-def _prior(given: pd.Series, n: int, trust: float = 0.9) -> np.ndarray:
-    """Even for unrated documents; raters are believed up to `trust`, since some labels are wrong."""
-    out = np.full((len(given), n), 1.0 / n)
-    for i, g in enumerate(given):
-        if g is not None and len(g):
-            out[i] = (1 - trust) / n
-            out[i, list(g)] += trust / len(g)
-    return out
-
-
 def _sum(df: DataFrame, fn, shape: tuple[int, int]) -> np.ndarray:
     """Sum over partitions of matrices made by `fn` per batch; the shape bounds what reaches the driver."""
 
@@ -327,14 +322,23 @@ def _sum(df: DataFrame, fn, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def _naming(slots: Slots, names: list[str]) -> np.ndarray:
-    """1 where a term is a naming word of a subject, or a bigram of one."""
-    out = np.zeros((len(names), len(slots.term)))
-    for k, name in enumerate(names):
-        words = SEEDS.get(name, "").split()
-        parts = {w for w in words if w[0] < "一"} | {w[i : i + 2] for w in words if w[0] >= "一" for i in range(len(w) - 1)}
-        out[k] = np.isin(slots.names, list(parts)) if parts else 0
-    return out
+def discriminative(counts: np.ndarray) -> np.ndarray:
+    """Per column (a leaf or a subject), a unit vector of the terms that stand in it at least LIFT times as often as elsewhere."""
+    share, whole = counts / np.maximum(counts.sum(axis=0), 1), counts.sum(axis=1, keepdims=True) / max(1, counts.sum())
+    x = np.maximum(np.log(np.maximum(share / np.maximum(whole, 1e-12), 1e-9) / LIFT), 0) * np.log1p(counts)
+    return x / np.maximum(np.linalg.norm(x, axis=0), 1e-9)
+
+
+def label_leaves(by_leaf: np.ndarray, by_subject: np.ndarray) -> np.ndarray:
+    """Mixture of subjects of each leaf (subjects x leaves), from how alike their discriminative terms are.
+
+    A subject whose discriminative terms do not stand in a leaf LIFT times as often as in the corpus has no part in it.
+    """
+    telling = discriminative(by_subject)
+    often = telling.T @ (by_leaf / np.maximum(by_leaf.sum(axis=0), 1))
+    usual = telling.T @ (by_leaf.sum(axis=1) / max(1, by_leaf.sum()))
+    like = np.where(often >= LIFT * np.maximum(usual, 1e-12)[:, None], telling.T @ discriminative(by_leaf), 0) ** SHARPNESS
+    return like / np.maximum(like.sum(axis=0), 1e-9)
 
 
 def mixtures(counts: np.ndarray) -> np.ndarray:
@@ -363,52 +367,42 @@ def train(sentences: DataFrame, slots: Slots, labels: DataFrame, names: list[str
     n, k = len(slots.term), len(names)
     if not n or not k:
         return Model(slots, names, np.zeros((n, max(1, k))), np.zeros(n, dtype=bool), {}, np.zeros((0, k)))
-    given = rated(labels, names)
     placed = leaves(vectors(sentences, n))
-    rows = materialize(sentences.where(F.size("sentences") > 0).join(given, "doc_id", "left").join(placed, "doc_id", "left"), "subject-rows")
+    rows = materialize(sentences.where(F.size("sentences") > 0).join(rated(labels, names), "doc_id", "left").join(placed, "doc_id", "left"), "subject-rows")
 
-    def by_leaf(b: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((n + k, LEAVES))
+    def seen_in(b: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((n, LEAVES + k))
         for s, g, leaf in zip(b["sentences"], b["given"], b["leaf"], strict=True):
-            np.add.at(out, (s[s >= 0], int(leaf)), 1)
-            if g is not None and len(g):
-                out[n + np.asarray(g), int(leaf)] += 1 / len(g)
+            s = s[s >= 0]
+            np.add.at(out, (s, int(leaf)), 1)
+            for j in [] if g is None else g:
+                np.add.at(out, (s, LEAVES + int(j)), 1 / len(g))
         return out
 
-    seen = _sum(rows, by_leaf, (n + k, LEAVES))
-    terms, votes = seen[:n], seen[n:]
-    profile = terms / np.maximum(np.linalg.norm(terms, axis=0), 1e-9)
-    named = _naming(slots, names)
-    naming = named @ terms
-    strength = np.minimum(1, naming.sum(axis=0) / np.maximum(0.02 * terms.sum(axis=0), 1e-9))
-    votes = votes + SEED_WEIGHT * strength * naming / np.maximum(naming.sum(axis=0), 1e-9)
-    near = np.maximum(profile.T @ profile, 0) ** 4  # leaves without labels lean on like ones
-    share = votes @ near
-    share = share / np.maximum(share.sum(axis=0), 1e-9)
-    lift = (terms / np.maximum(terms.sum(axis=0), 1)) / np.maximum(terms.sum(axis=1, keepdims=True) / max(1, terms.sum()), 1e-12) * (terms >= 3)
-    leaf_terms = {leaf: [slots.names[i] for i in np.argsort(-lift[:, leaf] * np.log1p(terms[:, leaf]))[:8]] for leaf in range(LEAVES) if terms[:, leaf].sum()}
-    counts = terms @ share.T
-    word = named.sum(axis=0) > 0  # a naming word's own mixture leans on its subject
-    counts[word] = 0.3 * counts[word] + 0.7 * terms.sum(axis=1)[word, None] * (named / np.maximum(named.sum(axis=0), 1)).T[word]
+    seen = _sum(rows, seen_in, (n, LEAVES + k))
+    by_leaf, by_subject = seen[:, :LEAVES], seen[:, LEAVES:]
+    mixture = label_leaves(by_leaf, by_subject)
+    telling = discriminative(by_leaf)
+    leaf_terms = {leaf: [slots.names[i] for i in np.argsort(-telling[:, leaf])[:8]] for leaf in range(LEAVES) if by_leaf[:, leaf].any()}
+    counts = by_leaf @ mixture.T
     for _ in range(ROUNDS):
         logs = mixtures(counts)
 
         def sharpen(b: pd.DataFrame, logs=logs) -> np.ndarray:
             slot, starts, doc = _flat(b["sentences"].tolist())
-            p = judge(slot, starts, doc, len(b), logs, _prior(b["given"], k))
+            p = judge(slot, starts, doc, len(b), logs)
             which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(slot))))
             return np.stack([np.bincount(slot, weights=p[which, j], minlength=n) for j in range(k)], axis=1)
 
         counts = _sum(rows, sharpen, (n, k))
     top = np.sort(counts, axis=1)[:, ::-1]
     specific = top[:, :2].sum(axis=1) / (counts.sum(axis=1) + 2.0) >= 0.8
-    return Model(slots, names, mixtures(counts), specific, leaf_terms, share.T)
+    return Model(slots, names, mixtures(counts), specific, leaf_terms, mixture.T)
 
 
-def assign(sentences: DataFrame, model: Model, labels: DataFrame) -> DataFrame:
+def assign(sentences: DataFrame, model: Model) -> DataFrame:
     """`doc_id`, `subject`, `n_sentences` (that concern it) and `n_subject_sentences`, for every document."""
     k = len(model.names)
-    given = rated(labels, model.names)
     held = sentences.sparkSession.sparkContext.broadcast(model)
 
     def decide(batches):
@@ -417,7 +411,7 @@ def assign(sentences: DataFrame, model: Model, labels: DataFrame) -> DataFrame:
             slot, starts, doc = _flat(b["sentences"].tolist(), m.specific)
             n = np.zeros((len(b), max(1, k)), dtype=np.int64)
             if len(starts):
-                best = judge(slot, starts, doc, len(b), m.logs, _prior(b["given"], k, 0.5)).argmax(axis=1)
+                best = judge(slot, starts, doc, len(b), m.logs).argmax(axis=1)
                 np.add.at(n, (doc, best), 1)
             total = n.sum(axis=1)
             i, j = np.nonzero(n * round(1 / SHARE) >= np.maximum(total, 1)[:, None])
@@ -428,7 +422,7 @@ def assign(sentences: DataFrame, model: Model, labels: DataFrame) -> DataFrame:
                 "n_sentences": np.concatenate((n[i, j], total[none])), "n_subject_sentences": np.concatenate((total[i], total[none])),
             })
 
-    return sentences.join(given, "doc_id", "left").mapInPandas(decide, "doc_id bigint, subject string, n_sentences bigint, n_subject_sentences bigint")
+    return sentences.mapInPandas(decide, "doc_id bigint, subject string, n_sentences bigint, n_subject_sentences bigint")
 
 
 def prepare(documents: DataFrame) -> tuple[DataFrame, Slots]:
@@ -444,4 +438,4 @@ def classify(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tu
     names = sorted(r["subject"] for r in subjects.where("subject is not null").select("subject").distinct().collect() if r["subject"] != GENERAL)  # a fixed table
     sentences, slots = prepare(documents)
     model = train(sentences, slots, labels, names)
-    return assign(sentences, model, labels), model
+    return assign(sentences, model), model
