@@ -1,13 +1,16 @@
 """Best representative of each duplicate group: Bayesian fusion with copy detection.
 
-A group holds the records of one observation.  Every record comes from a source (its recorded status, value kind and
-scope together: a set bounded by the trust table).  Sources vote for quantities; their accuracies and their mutual
-dependence are estimated over all groups from agreement and from shared false values, votes of likely copiers are
-discounted, and each field takes its value of highest posterior.  For the four trust fields the prior odds of a higher
-trust outweigh any number of votes, so votes decide only between equals.
-
-Pairs of records are never formed: votes are pre-aggregated per group, quantity and source, and dependence comes from
-products of one-hot matrices whose side is the number of sources.  A group of any size is reduced by partial
+A group holds the records of one observation.  The data do not name who wrote a record; its writing conventions stand
+for that: kind of evidence key, period basis and style of the printed value make at most SOURCES classes.
+Sources vote for every value a group states: date, status, kind, scope and quantity.  Accuracies of the sources and
+their mutual dependence are estimated over all groups, from agreement and from shared false values, until they are
+stable; votes of likely copiers are discounted.  The posterior of a value is its prior plus its discounted votes: for
+status, kind and scope the prior is LEVEL a level of trust, for the date LEVEL a year.  Each field takes its value of
+highest posterior (`fused_...`), and the survivor is the record whose four fields and quantity have the highest sum.
+A record that is best in all four fields has the last word, whatever the votes; that is the exact check (`sure`).
+
+Pairs of records are never formed: votes are bit sets of sources, united per group and value before the shuffle, and
+dependence comes from products of one-hot matrices whose side is SOURCES.  A group of any size is reduced by partial
 aggregates.  Redelivered records count once, at their earliest loading.  Records whose document, metric or period is
 null, or whose company no row of `companies` names, are in no group; a null, blank or unlisted trust value and a null
 or later-than-loading date rank lowest; equal records are settled by the smallest `fact_id`.
@@ -16,10 +19,11 @@ or later-than-loading date rank lowest; equal records are settled by the smalles
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +33,14 @@ from factloom.session import materialize
 
 FIELDS = ("revision_status", "value_type", "accounting_scope")
 GROUP = ["g1", "g2"]
-#: Copying model: prior of dependence, share copied, number of false values, rounds of estimation.
-ALPHA, COPIED, FALSE_VALUES, ROUNDS = 0.1, 0.8, 20, 2
+#: Classes of sources (bits of one word), and log odds of a level of trust or a year of date.
+SOURCES, LEVEL = 64, 3.0
+#: Styles a value may be printed in, the first that fits; then the plain one.
+STYLES, BASES = ("[亿億]", "[万萬]", "[A-Za-z]", "%"), ("standalone", "cumulative")
+#: Copying model: prior of dependence, share copied, number of false values; most rounds, and the change that ends them.
+ALPHA, COPIED, FALSE_VALUES, ROUNDS, STABLE = 0.1, 0.8, 20, 4, 0.01
+#: Fields with values of their own in `votes`.
+DAY, QUANTITY = 0, 1
 
 
 def _listed(trust: DataFrame) -> dict[str, dict[str, tuple[int, int]]]:
@@ -44,40 +54,50 @@ def _listed(trust: DataFrame) -> dict[str, dict[str, tuple[int, int]]]:
     return out
 
 
-def n_sources(trust: DataFrame) -> int:
-    return int(np.prod([len(v) + 1 for v in _listed(trust).values()]))
+def source() -> Column:
+    """Class of a record's source, from its writing conventions: 3 kinds of evidence key, 4 bases, 5 styles."""
+    basis = F.coalesce(F.lower(F.trim("period_basis")), F.lit(""))
+    key = F.when(F.col("evidence_id").isNull(), 0).when(F.col("evidence_id").startswith("EV"), 1).otherwise(2)
+    base = F.when(basis == "", 0).when(basis == BASES[0], 1).when(basis == BASES[1], 2).otherwise(3)
+    style = F.lit(len(STYLES))
+    for i, p in reversed(list(enumerate(STYLES))):
+        style = F.when(F.col("raw_value").rlike(p), i).otherwise(style)
+    return ((key * 4 + base) * 5 + style).cast("int")
 
 
-def records(facts: DataFrame, companies: DataFrame, trust: DataFrame) -> DataFrame:
-    """One row per grouped record: hashed group, trust of each field, usable date, source number."""
+def records(facts: DataFrame, companies: DataFrame, listed: dict) -> DataFrame:
+    """One row per grouped record: hashed group, number and trust of each field's value, usable date, bits of its source."""
     names = companies.select("company_id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array()))).alias("_name"))
     names = names.where(F.col("_name").isNotNull()).groupBy("_name").agg(F.min("company_id").alias("_cid"))
-    rows = facts.withColumn("_name", F.trim(form(F.col("company")))).join(F.broadcast(names), "_name")
+    rows = facts.withColumn("_name", F.trim(form(F.col("company")))).join(names, "_name")
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("metric").isNotNull() & F.col("period").isNotNull())
     key = [F.col("doc_id"), F.col("_cid"), F.col("metric"), F.col("period.kind"), F.col("period.year")]
-    levels, source = [], F.lit(0)
-    for f, values in _listed(trust).items():
-        said = F.coalesce(F.lower(F.trim(f)), F.lit(""))
-        number = level = None
+    made = []
+    for f, values in listed.items():
+        said, number, level = F.coalesce(F.lower(F.trim(f)), F.lit("")), F.lit(0), F.lit(-1)
         for v, (t, k) in values.items():
-            level = F.when(said == v, t) if level is None else level.when(said == v, t)
-            number = F.when(said == v, k) if number is None else number.when(said == v, k)
-        levels.append((F.lit(-1) if level is None else level.otherwise(-1)).cast("int").alias(f"t_{f}"))
-        source = source * (len(values) + 1) + (F.lit(0) if number is None else number.otherwise(0))
+            number, level = F.when(said == v, k).otherwise(number), F.when(said == v, t).otherwise(level)
+        made += [number.cast("int").alias(f"n_{f}"), level.cast("int").alias(f"t_{f}")]
     rows = rows.select(
         F.xxhash64(*key).alias("g1"), F.xxhash64(F.lit(31), *key).alias("g2"), "fact_id", "loaded_at", "source_date", "metric", "value", "raw_value", "unit",
-        *levels, source.cast("int").alias("source"),
+        *made, source().alias("source"),
     )
-    carried = ["source_date", "metric", "value", "raw_value", "unit", *[f"t_{f}" for f in FIELDS], "source"]
+    carried = ["source_date", "metric", "value", "raw_value", "unit", *[f"{x}_{f}" for f in FIELDS for x in "nt"], "source"]
     rows = rows.groupBy(*GROUP, "fact_id").agg(F.min("loaded_at").alias("loaded_at"), F.max(F.struct(*carried)).alias("_r")).select(*GROUP, "fact_id", "loaded_at", "_r.*")
     usable = F.when(F.col("source_date") <= F.to_date("loaded_at"), F.col("source_date"))
-    return rows.withColumn("day", F.coalesce(F.datediff(usable, F.lit("1900-01-01").cast("date")), F.lit(-1))).drop("loaded_at", "source_date")
+    return rows.withColumns({"day": F.coalesce(F.datediff(usable, F.lit("1900-01-01").cast("date")), F.lit(-1)), "by": F.expr("shiftleft(1L, source)")}).drop("loaded_at", "source_date", "source")
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """Records of groups with at least two of them."""
-    several = rows.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1").select(*GROUP)
-    return rows.join(several, GROUP, "left_semi")
+def _cells(listed: dict) -> list[tuple[str, int]]:
+    """Every value (field, number) a trust field can take; number 0 stands for null, blank and unlisted ones."""
+    return [(f, k) for f, values in listed.items() for k in range(len(values) + 1)]
+
+
+def groups(rows: DataFrame, listed: dict) -> DataFrame:
+    """Groups of at least two records: size, best of each field, and the sources behind every value of the trust fields."""
+    cells = [F.coalesce(F.bit_or(F.when(F.col(f"n_{f}") == k, F.col("by"))), F.lit(0)).cast("bigint").alias(f"by_{f}_{k}") for f, k in _cells(listed)]
+    best = [F.max("day").alias("best_day"), *[F.max(f"t_{f}").alias(f"best_t_{f}") for f in FIELDS]]
+    return rows.groupBy(*GROUP).agg(F.count("*").alias("n_records"), F.min("fact_id").alias("group_id"), F.bit_or("by").alias("said"), *best, *cells).where("n_records > 1")
 
 
 @dataclass
@@ -87,27 +107,39 @@ class Model:
     accuracy: np.ndarray
     dependence: np.ndarray
 
-    def weight(self) -> np.ndarray:
-        return np.log(FALSE_VALUES * self.accuracy / (1 - self.accuracy))
+    def mass(self, by: np.ndarray) -> np.ndarray:
+        """Vote mass of each set of sources, every source discounted by what it may have copied from better ones."""
+        sets, place = np.unique(by, return_inverse=True)
+        weight = np.log(FALSE_VALUES * self.accuracy / (1 - self.accuracy))
+        order = np.lexsort((np.arange(len(weight)), -weight))
+        kept = np.triu(np.log(1 - COPIED * self.dependence[np.ix_(order, order)]), 1)
+        hot = one_hot(sets)[:, order]
+        return (hot * weight[order] * np.exp(hot @ kept)).sum(axis=1)[place]
+
 
+def one_hot(by: np.ndarray) -> np.ndarray:
+    words = np.ascontiguousarray(by, dtype=np.int64)[:, None]
+    return np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
 
-def _matrices(votes: DataFrame, n: int) -> tuple[np.ndarray, ...]:
+
+def _matrices(votes: DataFrame) -> tuple[np.ndarray, ...]:
     """Shared true votes, shared false votes and joint votes of every two sources, from one-hot products per batch."""
+    n = SOURCES
 
     def partial(batches):
         total = np.zeros((3, n, n), dtype=np.float64)
         for b in batches:
-            for k, column in enumerate(("true_by", "false_by", "voted")):
-                hot = np.zeros((len(b), n), dtype=np.float32)
-                for i, s in enumerate(b[column]):
-                    hot[i, list(s)] = 1
-                total[k] += hot.T @ hot
+            right = b["right"].to_numpy(dtype=bool)
+            hot = one_hot(b["by"].to_numpy())
+            said = one_hot(b["said"].to_numpy()[right])  # once per group and field
+            for k, h in enumerate((hot[right], hot[~right], said)):
+                total[k] += h.T @ h
         k, i, j = np.nonzero(total)
         yield pd.DataFrame({"k": k, "i": i, "j": j, "x": total[k, i, j]})
 
     sums = votes.mapInPandas(partial, "k int, i int, j int, x double").groupBy("k", "i", "j").agg(F.sum("x").alias("x"))
     out = np.zeros((3, n, n))
-    rows = sums.toPandas()  # at most 3 * sources**2 numbers, whatever the data
+    rows = sums.toPandas()  # at most 3 * SOURCES**2 numbers, whatever the data
     out[rows.k, rows.i, rows.j] = rows.x
     return tuple(out)
 
@@ -126,72 +158,92 @@ def _dependence(accuracy: np.ndarray, true: np.ndarray, false: np.ndarray, both:
     return out
 
 
-def _scores(model: Model):
-    weight, dependence = model.weight(), model.dependence
-
+def _mass(model: Model):
     @F.pandas_udf(T.DoubleType())
-    def score(sources: pd.Series) -> pd.Series:
-        """Vote mass of the sources behind one quantity, each discounted by what it may have copied from better ones."""
+    def mass(by: pd.Series) -> pd.Series:
+        return pd.Series(model.mass(by.to_numpy()))
 
-        def of(s) -> float:
-            if len(s) == 1:
-                return float(weight[s[0]])
-            order = sorted(s, key=lambda x: (-weight[x], x))
-            return float(sum(weight[x] * np.prod(1 - COPIED * dependence[x, order[:i]]) for i, x in enumerate(order)))
-
-        return sources.map(of)
-
-    return score
+    return mass
 
 
 def with_quantity(rows: DataFrame, metrics: DataFrame) -> DataFrame:
-    """`rows` with `v`, the hash of the stated quantity in common units (of the stored value where none can be read)."""
+    """`rows` with the stated quantity in common units (the stored value where none can be read) and `v`, its hash."""
     q = units.convert(rows, metrics)
-    stated = F.coalesce(F.col("quantity").cast("decimal(38,12)"), F.col("value").try_cast("decimal(38,12)"))
-    return q.select(*[c for c in rows.columns if c not in ("raw_value", "unit", "value", "metric")], F.xxhash64(stated).alias("v"))
+    stated, stored = F.col("quantity"), F.col("value").try_cast("decimal(38,12)")
+    # a stored value too long for the common column is hashed as it is
+    v = F.when(stated.isNotNull(), F.xxhash64(stated)).when(stored.isNotNull(), F.xxhash64(stored)).otherwise(F.xxhash64(F.lit(1), F.col("value")))
+    return q.select(*[c for c in rows.columns if c not in ("raw_value", "unit", "value", "metric")], v.alias("v"), F.coalesce(stated.cast("string"), stored.cast("string"), F.col("value").cast("string")).alias("stated"))
+
+
+def votes_of(rows: DataFrame) -> DataFrame:
+    """Per group and value of date and quantity: who states it, and its prior."""
+    of = lambda field, value, prior, shown: F.struct(F.lit(field).alias("field"), value.cast("bigint").alias("value"), prior.cast("double").alias("prior"), shown.alias("shown"))
+    day = of(DAY, F.col("day"), F.col("day") * (LEVEL / 365.0), F.lit(None).cast("string"))
+    each = rows.select(*GROUP, "by", "said", F.explode(F.array(day, of(QUANTITY, F.col("v"), F.lit(0.0), F.col("stated")))).alias("e")).select(*GROUP, "by", "said", "e.*")
+    return each.groupBy(*GROUP, "field", "value").agg(F.bit_or("by").alias("by"), F.first("said").alias("said"), F.max("prior").alias("prior"), F.min("shown").alias("shown"), F.count("*").alias("n"))
 
 
-def fuse_values(rows: DataFrame, n: int) -> tuple[DataFrame, Model]:
-    """Posterior vote mass of every quantity of every group, with the model it came from; `n` sources at most."""
-    votes = rows.groupBy(*GROUP, "v").agg(F.collect_set("source").alias("by"), F.count("*").alias("n"))  # sets of sources are bounded
-    voted = rows.groupBy(*GROUP).agg(F.collect_set("source").alias("voted"))
-    votes = materialize(votes.join(voted, GROUP), "votes")
-    model = Model(np.full(n, 0.8), np.zeros((n, n)))
-    none = F.array().cast("array<int>")
+def estimate(votes: DataFrame) -> Model:
+    """Accuracy and dependence of the sources, alternated with the truth they imply until they are stable."""
+    model = Model(np.full(SOURCES, 0.8), np.zeros((SOURCES, SOURCES)))
     for _ in range(ROUNDS):
-        scored = votes.withColumn("vote", _scores(model)("by"))
-        best = scored.groupBy(*GROUP).agg(F.max(F.struct("vote", "n", "v"))["v"].alias("truth"))
-        is_true = F.col("v") == F.col("truth")
-        marked = scored.join(best, GROUP).select(F.when(is_true, F.col("by")).otherwise(none).alias("true_by"), F.when(is_true, none).otherwise(F.col("by")).alias("false_by"), F.when(is_true, F.col("voted")).otherwise(none).alias("voted"))
-        true, false, both = _matrices(marked, n)
+        scored = votes.withColumn("post", F.col("prior") + _mass(model)("by"))
+        best = scored.groupBy(*GROUP, "field").agg(F.max(F.struct("post", "n", "value"))["value"].alias("truth"))
+        marked = scored.join(best, [*GROUP, "field"]).select("by", "said", (F.col("value") == F.col("truth")).alias("right"))
+        true, false, both = _matrices(marked)
         right, wrong = np.diag(true), np.diag(false)
         accuracy = np.clip((right + 8) / (right + wrong + 10), 0.05, 0.99)
+        moved = np.abs(accuracy - model.accuracy).max()
         model = Model(accuracy, _dependence(accuracy, true, false, both))
-    return votes.withColumn("vote", _scores(model)("by")).select(*GROUP, "v", "vote"), model
+        if moved < STABLE:
+            break
+    return model
 
 
-def choose(rows: DataFrame, votes: DataFrame) -> DataFrame:
-    """One survivor per group: `group_id`, `fact_id`, the posterior's parts, the fused best of each field, and `sure`.
+def choose(rows: DataFrame, grouped: DataFrame, votes: DataFrame, model: Model, listed: dict) -> DataFrame:
+    """One survivor per group with its score, the fused value of each field, and `sure`.
 
     `sure` is the exact check: the survivor is nowhere worse than any other record and somewhere better than each.
     """
+    mass, number = _mass(model), {f: len(v) + 1 for f, v in listed.items()}
+    at, level = {}, {f: {k: t for t, k in [(-1, 0), *v.values()]} for f, v in listed.items()}
+    posts = {}
+    for f, k in _cells(listed):
+        at[f, k] = F.when(F.col(f"by_{f}_{k}") != 0, mass(F.col(f"by_{f}_{k}")) + LEVEL * level[f][k])
+    for f in FIELDS:
+        posts[f"p_{f}"] = F.array(*[at[f, k] for k in range(number[f])])
+    kept = ["n_records", "group_id", "best_day", *[f"best_t_{f}" for f in FIELDS]]
+    sides = grouped.select(*GROUP, *kept, *[c.alias(n) for n, c in posts.items()])
     trust = [f"t_{f}" for f in FIELDS]
-    shapes = rows.groupBy(*GROUP, "v", "day", *trust).agg(F.min("fact_id").alias("fact_id"), F.count("*").alias("n"))
-    prior = sum((F.col(t) * F.lit(1.0) for t in trust), F.lit(0.0)) + F.col("day") / F.lit(1e6)
-    shapes = shapes.join(votes, [*GROUP, "v"], "left").withColumns({"prior": prior, "vote": F.coalesce("vote", F.lit(0.0))})
-    # records equal in all four fields are one candidate, whatever they say
-    best = shapes.groupBy(*GROUP, "day", *trust).agg(F.max(F.struct("prior", "vote")).alias("top"), F.min_by("fact_id", F.struct(-F.col("vote"), "fact_id")).alias("fact_id"), F.min("fact_id").alias("least"), F.sum("n").alias("n"))
-    top = F.max(F.struct(F.col("top.prior").alias("prior"), F.col("top.vote").alias("vote"), "day", *trust, "n", "fact_id"))
-    out = best.groupBy(*GROUP).agg(F.min("least").alias("group_id"), F.sum("n").alias("n_records"), top.alias("s"), F.max("day").alias("best_day"), *[F.max(t).alias(f"best_{t}") for t in trust])
-    sure = (F.col("s.n") == 1) & (F.col("s.day") == F.col("best_day"))
-    for t in trust:
-        sure = sure & (F.col(f"s.{t}") == F.col(f"best_{t}"))
-    return out.select("group_id", "s.fact_id", "n_records", "s.prior", "s.vote", "best_day", *[f"best_{t}" for t in trust], sure.alias("sure"))
+    shapes = rows.groupBy(*GROUP, "v", "day", *[f"n_{f}" for f in FIELDS], *trust).agg(F.min("fact_id").alias("fact_id"), F.count("*").alias("n"))
+    post = votes.withColumn("post", F.col("prior") + mass("by")).select(*GROUP, "field", "value", "post", "n", "shown")
+    post = materialize(post, "posteriors")
+    for field, column in ((DAY, "day"), (QUANTITY, "v")):
+        shapes = shapes.join(post.where(F.col("field") == field).select(*GROUP, F.col("value").alias(column), F.col("post").alias(f"post_{column}")), [*GROUP, column])
+    shapes = shapes.join(sides, GROUP)
+    score = reduce(lambda a, b: a + b, [F.element_at(f"p_{f}", F.col(f"n_{f}") + 1) for f in FIELDS], F.col("post_day") + F.col("post_v"))
+    top = reduce(lambda a, b: a & b, [F.col(t) == F.col(f"best_{t}") for t in trust], F.col("day") == F.col("best_day"))
+    shapes = shapes.withColumns({"score": F.round(score, 6), "top": top})
+    first = F.min_by(F.struct("fact_id", "score"), F.struct(~F.col("top"), -F.col("score"), F.col("fact_id")))
+    fused = [F.first(F.array_position(f"p_{f}", F.array_max(f"p_{f}")) - 1).alias(f"k_{f}") for f in FIELDS]
+    out = shapes.groupBy(*GROUP).agg(F.first("group_id").alias("group_id"), F.first("n_records").alias("n_records"), first.alias("s"), F.sum(F.when(F.col("top"), F.col("n"))).alias("n_top"), *fused)
+    said = post.groupBy(*GROUP).agg(F.max(F.when(F.col("field") == DAY, F.struct("post", "value")))["value"].alias("day"), F.max(F.when(F.col("field") == QUANTITY, F.struct("post", "n", "shown")))["shown"].alias("fused_quantity"))
+    out = out.join(said, GROUP)
+
+    def spelt(f: str) -> Column:
+        words = {k: v for v, (_, k) in listed[f].items()}
+        return F.get(F.array(F.lit(None).cast("string"), *[F.lit(words[k]) for k in sorted(words)]), F.col(f"k_{f}").cast("int")).alias(f"fused_{f}")
+
+    date = F.when(F.col("day") >= 0, F.date_add(F.lit("1900-01-01").cast("date"), F.col("day").cast("int")))
+    return out.select("group_id", "s.fact_id", "n_records", "s.score", date.alias("fused_source_date"), *[spelt(f) for f in FIELDS], "fused_quantity", F.coalesce(F.col("n_top") == 1, F.lit(False)).alias("sure"))
 
 
 def survivors(facts: DataFrame, companies: DataFrame, trust: DataFrame, metrics: DataFrame) -> DataFrame:
-    """The surviving record of every group of at least two records."""
-    rows = repeated(materialize(records(facts, companies, trust), "records"))
+    """The surviving record of every group of at least two records, and the fused values of its fields."""
+    listed = _listed(trust)
+    rows = materialize(records(facts, companies, listed), "records")
+    grouped = materialize(groups(rows, listed), "groups")
+    rows = rows.join(grouped.select(*GROUP, "said"), GROUP)
     rows = materialize(with_quantity(rows, metrics), "repeated")
-    votes, _ = fuse_values(rows, n_sources(trust))
-    return choose(rows, votes)
+    votes = materialize(votes_of(rows), "votes")
+    return choose(rows, grouped, votes, estimate(votes), listed)

@@ -3,10 +3,12 @@ import random
 from decimal import Decimal
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from factloom.llm import survivors as sv
+from factloom.session import table
 
-F_SCHEMA = "fact_id string, company string, metric string, period struct<kind:string,year:int>, doc_id string, value decimal(38,6), raw_value string, unit string, source_date date, revision_status string, value_type string, accounting_scope string, loaded_at timestamp, extra string"
+F_SCHEMA = "fact_id string, company string, metric string, period struct<kind:string,year:int>, doc_id string, value decimal(38,6), raw_value string, unit string, source_date date, revision_status string, value_type string, accounting_scope string, loaded_at timestamp, extra string, evidence_id string, period_basis string"
 TRUST = [("revision_status", "restated", 3), ("revision_status", "original", 2), ("value_type", "actual", 3), ("value_type", "forecast", 1), ("accounting_scope", "consolidated", 2), ("accounting_scope", "parent_company", 1)]
 
 
@@ -24,9 +26,9 @@ def make(seed, n=120):
         day = dt.date(2024, 1, 1) + dt.timedelta(days=r.randint(0, 3))
         out.append((
             f"F{i:03d}", r.choice(["甲公司", "Jia", "Ｊia", "乙公司", "丙"]), "revenue", ("FY", 2020 + r.randrange(3)), f"D{r.randrange(6)}", Decimal(r.randint(1, 3)), f"{r.randint(1, 3)}元", "元",
-            r.choice([None, day, dt.date(2050, 1, 1)]), r.choice(["restated", " Original", None, ""]), r.choice(["actual", "FORECAST", "odd"]), r.choice(["consolidated", "parent_company", None]), dt.datetime(2024, 2, 1), "x",
+            r.choice([None, day, dt.date(2050, 1, 1)]), r.choice(["restated", " Original", None, ""]), r.choice(["actual", "FORECAST", "odd"]), r.choice(["consolidated", "parent_company", None]), dt.datetime(2024, 2, 1), "x", r.choice([None, "EV1", "chunk"]), r.choice([None, "standalone"]),
         ))
-    return out + [(*out[0][:12], dt.datetime(2024, 3, 1), "x")]
+    return out + [(*out[0][:12], dt.datetime(2024, 3, 1), *out[0][13:])]
 
 
 def brute(facts):
@@ -65,8 +67,8 @@ def test_empty_and_nulls(spark):
 
 
 def test_hot_group(spark):
-    rows = [(f"F{i:04d}", "甲公司", "revenue", ("FY", 2020), "D", Decimal(1), "1元", "元", dt.date(2024, 1, 1), "original", "actual", None, dt.datetime(2024, 2, 1), "x") for i in range(3000)]
-    rows.append(("Z", "甲公司", "revenue", ("FY", 2020), "D", Decimal(1), "1元", "元", dt.date(2024, 1, 1), "restated", "actual", None, dt.datetime(2024, 2, 1), "x"))
+    rows = [(f"F{i:04d}", "甲公司", "revenue", ("FY", 2020), "D", Decimal(1), "1元", "元", dt.date(2024, 1, 1), "original", "actual", None, dt.datetime(2024, 2, 1), "x", None, None) for i in range(3000)]
+    rows.append(("Z", "甲公司", "revenue", ("FY", 2020), "D", Decimal(1), "1元", "元", dt.date(2024, 1, 1), "restated", "actual", None, dt.datetime(2024, 2, 1), "x", None, None))
     r = sv.survivors(*tables(spark, rows)).collect()
     assert [(x.group_id, x.fact_id, x.sure, x.n_records) for x in r] == [("F0000", "Z", True, 3001)]
 
@@ -80,10 +82,62 @@ def test_copiers_are_found_by_shared_false_values():
     assert d[0, 1] > 0.99 > 0.5 > d[0, 2]
 
 
-def test_copied_votes_count_less(spark):
-    d = np.zeros((3, 3))
+def bits(*sources):
+    return sum(1 << i for i in sources)
+
+
+def test_copied_votes_count_less():
+    d = np.zeros((sv.SOURCES, sv.SOURCES))
     d[0, 1] = d[1, 0] = 1.0
-    score = sv._scores(sv.Model(np.full(3, 0.8), d))
-    rows = spark.createDataFrame([(1, [0, 1]), (2, [0, 2]), (3, [0])], "i int, by array<int>").select("i", score("by").alias("s")).collect()
-    s = {r.i: r.s for r in rows}
-    assert s[3] < s[1] < s[2]
+    both, free, one = sv.Model(np.full(sv.SOURCES, 0.8), d).mass(np.array([bits(0, 1), bits(0, 2), bits(0)]))
+    assert one < both < free and free == 2 * one
+    assert sv.one_hot(np.array([-(1 << 63)])).argmax() == 63  # the last source is the sign bit
+
+
+GROUPED = [  # one observation: value 1 by sources a and b, value 2 by c; nobody is best in every field
+    ("F1", "亿", None, "restated", "forecast"), ("F2", "万", None, "restated", "forecast"), ("F3", "%", "EV", "original", "actual"),
+]
+
+
+def fused(spark, model):
+    raw = {"亿": "1亿元", "万": "10000万元", "%": "2%"}
+    facts = [(i, "甲公司", "revenue", ("FY", 2020), "D", Decimal(1), raw[u], "元", dt.date(2024, 1, 1), rs, vt, "consolidated", dt.datetime(2024, 2, 1), "x", ev, None) for i, u, ev, rs, vt in GROUPED]
+    f, c, t, m = tables(spark, facts)
+    t = t.union(spark.createDataFrame([("value_type", "forecast", 2)], t.schema))  # levels 3 and 2 on both sides: votes decide
+    listed = sv._listed(t)
+    rows = sv.records(f, c, listed)
+    grouped = sv.groups(rows, listed)
+    rows = sv.with_quantity(rows.join(grouped.select(*sv.GROUP, "said"), sv.GROUP), m)
+    return sv.choose(rows, grouped, sv.votes_of(rows), model, listed).first()
+
+
+def test_copying_and_accuracy_change_the_survivor(spark):
+    n = sv.SOURCES
+    even, a, b, c = np.full(n, 0.8), 0, 1, 1 * 20 + 3
+    free = fused(spark, sv.Model(even, np.zeros((n, n))))
+    assert (free.fact_id, free.sure, free.fused_revision_status, free.fused_value_type) == ("F1", False, "restated", "forecast")
+    good = even.copy()
+    good[c] = 0.999
+    d = np.zeros((n, n))
+    d[a, b] = d[b, a] = 1.0
+    copied = fused(spark, sv.Model(good, d))
+    assert (copied.fact_id, copied.fused_value_type) == ("F3", "actual")
+
+
+def test_votes_reach_the_survivors_of_the_table(spark, monkeypatch):
+    tables_ = [table(spark, "/root/testdata/sf0.001", t) for t in ("facts", "companies", "field_trust", "metric_registry")]
+    found = lambda: {r.group_id: (r.fact_id, r.sure, r.fused_quantity) for r in sv.survivors(*tables_).collect()}
+    with_votes = found()
+    monkeypatch.setattr(sv, "_mass", lambda model: lambda by: F.lit(0.0))
+    without = found()
+    assert with_votes != without
+    assert {g: v[0] for g, v in with_votes.items() if v[1]} == {g: v[0] for g, v in without.items() if v[1]}  # the exact check holds either way
+
+
+def test_large_stored_values_stay_apart(spark):
+    f = make(5)[0]
+    rows = [(i, *f[1:5], Decimal(v), "?", None, *f[8:]) for i, v in (("A", 10**30), ("B", 2 * 10**30))]
+    _, _, _, m = tables(spark, rows)
+    facts = spark.createDataFrame(rows, F_SCHEMA)
+    q = sv.with_quantity(facts.select("fact_id", "metric", "value", "raw_value", "unit"), m).collect()
+    assert len({r.v for r in q}) == 2 and all(r.stated for r in q)
