@@ -33,8 +33,9 @@ from factloom.functions.form import to_form
 from factloom.session import materialize
 
 SHARE, GENERAL = 0.2, "general"
-#: Size of the model: leaves, rounds of sharpening.  Every topical term is in it; MIN_DF bounds how many there can be.
-LEAVES, ROUNDS = 64, 3
+#: Leaves; most rounds of sharpening, and the share of all mentions that must change their subject for one more round.
+#: Every topical term is in the model; MIN_DF bounds how many there can be.
+LEAVES, ROUNDS, STABLE = 64, 5, 0.01
 #: A term must stand in a share of documents between these (and in 3 at least) and gather this much more than chance.
 MIN_DF, MAX_DF, MIN_GATHERING = 0.0008, 0.6, 1.35
 #: How sharply a leaf's mixture follows the likeness of its discriminative terms to those of each subject.
@@ -386,7 +387,7 @@ def train(sentences: DataFrame, slots: Slots, labels: DataFrame, names: list[str
     leaf_terms = {leaf: [slots.names[i] for i in np.argsort(-telling[:, leaf])[:8]] for leaf in range(LEAVES) if by_leaf[:, leaf].any()}
     counts = by_leaf @ mixture.T
     for _ in range(ROUNDS):
-        logs = mixtures(counts)
+        logs, before = mixtures(counts), counts
 
         def sharpen(b: pd.DataFrame, logs=logs) -> np.ndarray:
             slot, starts, doc = _flat(b["sentences"].tolist())
@@ -395,6 +396,8 @@ def train(sentences: DataFrame, slots: Slots, labels: DataFrame, names: list[str
             return np.stack([np.bincount(slot, weights=p[which, j], minlength=n) for j in range(k)], axis=1)
 
         counts = _sum(rows, sharpen, (n, k))
+        if np.abs(counts - before).sum() <= STABLE * counts.sum():
+            break
     top = np.sort(counts, axis=1)[:, ::-1]
     specific = top[:, :2].sum(axis=1) / (counts.sum(axis=1) + 2.0) >= 0.8
     return Model(slots, names, mixtures(counts), specific, leaf_terms, mixture.T)
