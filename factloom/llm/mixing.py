@@ -1,17 +1,20 @@
 """Mixing sources to target weights: temperature mixing realised as budgeted block permutations.
 
-Per mix, the exponent on the sources' token shares that meets the target's entropy is found by bisection (its sign
-says whether small or large sources are favoured).  What the tempered weights leave to the target shares is kept as a
-factor per source, so the planned weights are the targets wherever the repetition limit allows; sources beyond their
-limit are held at it.  Unless a budget is given, a mix is as large as it can be while sources at their limit fall
-short of their targets by SHORTFALL of the whole at most (again bisection).  A source's plan is then drawn: whole
-passes over all its documents, and in the last pass whole random blocks while they fit the budget, then single
-documents of the one block that straddles it.  Blocks hold a bounded number of documents, so a source with a third
-of all documents is never ordered in one task.
+A mix has a size: a budget, or the largest one at which the shares miss their targets by SHORTFALL in all, because sources
+are at their repetition limit and others stand in for them (found by bisection).  Every source is planned at its target share of it, up to its
+limit.  What sources at their limit cannot supply is supplied by the others at tempered shares: their token shares to an
+exponent, which is bisected to the entropy that the targets of these others have (its sign says whether small or large
+sources are favoured); whoever reaches the limit by this is held at it, and the rest is tempered anew.  So shares come
+first, the size is kept, and the exponent decides who stands in for what is missing.  Targets alone cannot be met by an
+exponent, since they are one number per source.
+
+A source's plan is then drawn: whole passes over all its documents, and in the last pass whole random blocks while they
+fit the budget, then single documents of the one block that straddles it.  Blocks hold a bounded number of documents, so
+a source with a third of all documents is never ordered in one task.
 
 Documents of null source or without tokens cannot be drawn; spellings of a source are one after trimming and
 lower-casing; a wanted source without documents gets share 0 and is reported; null or negative targets count as 0; a
-null repetition limit is 1.
+null repetition limit is 1.  If all sources are at their limit, the mix is smaller than its budget.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 #: Documents per block: bounds the one ordered piece of each source and pass.
 BLOCK_DOCS = 2_000
-#: Share of a mix that sources at their repetition limit may together fall short of, where no budget is given.
+#: By how much the shares of a mix may miss their targets in all, where no budget is given: what sources at their
+#: repetition limit lack, and what others supply for them.
 SHORTFALL = 0.02
 PLAN = "mix_id string, source string, target_share double, max_repeats int, available bigint, exponent double, tempered_share double, planned_tokens double, passes int, remainder double, blocks int, at_limit boolean"
 
@@ -56,6 +60,25 @@ def exponent_for(natural: dict[str, float], target: dict[str, float]) -> float:
     return side * _bisect(lambda t: wanted - _entropy(_shares(natural, side * t).values()), 0.0, 16.0)
 
 
+def stand_in(planned: dict[str, float], most: dict[str, float], weight: dict[str, float], have: dict[str, int], size: float) -> tuple[float, dict[str, float]]:
+    """Fill what `planned` lacks of `size` from sources below their limit, at tempered shares; changes `planned`.
+
+    Returns the exponent and shares of the first filling (0 and none if nothing lacks).  Each further one has a source less.
+    """
+    first: tuple[float, dict[str, float]] = (0.0, {})
+    while (lacks := size - sum(planned.values())) > 1e-6 * size:
+        free = [s for s in planned if planned[s] < most[s] * (1 - 1e-9)]
+        if not free:
+            break
+        natural = {s: have[s] / sum(have[x] for x in free) for s in free}
+        exponent = exponent_for(natural, {s: weight[s] / sum(weight[x] for x in free) for s in free})
+        shares = _shares(natural, exponent)
+        first = first if first[1] else (exponent, shares)
+        for s in free:
+            planned[s] = min(most[s], planned[s] + lacks * shares[s])
+    return first
+
+
 def plan(targets: list[dict], available: dict[str, tuple[int, int]], budget: int | None = None) -> list[tuple]:
     """Tokens, passes and remainder of every wanted source; `available` has (tokens, documents) per source.
 
@@ -73,19 +96,16 @@ def plan(targets: list[dict], available: dict[str, tuple[int, int]], budget: int
         total = sum(want[s] for s in have)
         exponent, tempered, planned = 0.0, {}, {}
         if have and total > 0:
-            natural = {s: x / sum(have.values()) for s, x in have.items()}
-            aim = {s: max(want[s] / total, 1e-12) for s in have}
-            exponent = exponent_for(natural, aim)
-            tempered = _shares(natural, exponent)
-            weight = {s: tempered[s] * (aim[s] / tempered[s]) for s in have if want[s] > 0}
-            most = {s: limit[s] * have[s] for s in weight}
+            weight = {s: want[s] / total for s in have if want[s] > 0}
+            most = {s: float(limit[s] * have[s]) for s in weight}
 
-            def short(size: float) -> float:
-                return sum(max(0.0, w - most[s] / size) for s, w in weight.items()) - SHORTFALL
+            def short(size: float, weight=weight, most=most) -> float:
+                return 2 * sum(max(0.0, w - most[s] / size) for s, w in weight.items()) - SHORTFALL
 
-            top = float(sum(most.values()))
+            top = sum(most.values())
             size = float(budget) if budget is not None else top if top == 0 or short(top) <= 0 else _bisect(short, 1e-6, top)
-            planned = {s: min(w * size, float(most[s])) for s, w in weight.items()}
+            planned = {s: min(w * size, most[s]) for s, w in weight.items()}
+            exponent, tempered = stand_in(planned, most, weight, have, size)
         for s in sorted(want):
             tokens, docs = available.get(s, (0, 0))
             use = planned.get(s, 0.0)

@@ -78,12 +78,30 @@ def test_plan_meets_targets_within_limits():
     rows = {r[1]: r for r in mixing.plan(target("m", {"a": 0.5, "b": 0.3, "c": 0.2, "gone": 0.1}), have)}
     assert rows["gone"][7] == 0 and rows["gone"][-1]
     assert rows["c"][7] <= 100 + 1e-6  # twice what it has
-    assert rows["a"][7] / rows["b"][7] == pytest.approx(5 / 3)
+    assert rows["a"][7] / rows["b"][7] == pytest.approx(5 / 3, rel=0.03)  # but for what they stand in for
     free = {r[1]: r for r in mixing.plan(target("m", {"a": 0.5, "b": 0.5}, 3), have, budget=2000)}
     assert free["a"][7] == pytest.approx(1000) and not free["a"][-1]
     assert mixing.plan(target("m", {"a": 1.0}), {}) and mixing.plan([], have) == []
 
 
+def test_exponent_decides_who_stands_in(monkeypatch):
+    have = {"small": (100, 2), "a": (40_000, 400), "b": (4_000, 40), "c": (900, 9)}
+    wanted = target("m", {"small": 0.3, "a": 0.4, "b": 0.2, "c": 0.1}, 3)
+    rows = {r[1]: r for r in mixing.plan(wanted, have, budget=10_000)}
+    assert rows["small"][7] == pytest.approx(300) and sum(r[7] for r in rows.values()) == pytest.approx(10_000)  # the size is kept
+    assert rows["c"][7] <= 2_700 and rows["a"][7] > 4_000 and rows["b"][7] > 2_000
+    free = {s: have[s][0] / 44_900 for s in "abc"}
+    aim = {"a": 4 / 7, "b": 2 / 7, "c": 1 / 7}
+    shares = mixing._shares(free, mixing.exponent_for(free, aim))
+    assert mixing._entropy(shares.values()) == pytest.approx(mixing._entropy(aim.values()), abs=1e-4)
+    assert rows["a"][5] == pytest.approx(mixing.exponent_for(free, aim))
+    assert rows["a"][7] == pytest.approx(4_000 + 2_700 * shares["a"])
+    monkeypatch.setattr(mixing, "exponent_for", lambda natural, aim: 0.0)
+    even = {r[1]: r for r in mixing.plan(wanted, have, budget=10_000)}
+    assert even["a"][7] == pytest.approx(4_900) and even["a"][7] != pytest.approx(rows["a"][7], rel=0.01)
+    assert sum(r[7] for r in mixing.plan(wanted, {"small": (100, 2)}, budget=10_000)) == 300  # all at their limit
+
+
 def test_draw_reaches_shares_and_never_repeats_too_often(spark):
     r = random.Random(3)
     rows = [(i, r.choice(["big", "big", "big", " BIG", "mid", "small", None]), r.randint(0, 400)) for i in range(6000)]
