@@ -23,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.sql import DataFrame
@@ -261,13 +260,11 @@ def vectors(sentences: DataFrame, n: int) -> DataFrame:
 def leaves(points: DataFrame, k: int = LEAVES) -> DataFrame:
     """`doc_id` and `leaf` of every document by bisecting k-means with cosine distance.
 
-    The vectors are written once, and the many passes of the clustering read them from there or from memory.
+    The vectors are written once; the clustering keeps what it reads of them in memory, or on disk.
     """
-    points = materialize(points, "vectors").persist(StorageLevel.MEMORY_AND_DISK)
+    points = materialize(points, "vectors")
     model = BisectingKMeans(k=k, maxIter=8, seed=11, distanceMeasure="cosine", predictionCol="leaf").fit(points)
-    placed = materialize(model.transform(points).select("doc_id", "leaf"), "leaves")
-    points.unpersist()
-    return placed
+    return model.transform(points).select("doc_id", "leaf")
 
 
 def rated(labels: DataFrame, names: list[str]) -> DataFrame:
@@ -371,16 +368,19 @@ def train(sentences: DataFrame, slots: Slots, labels: DataFrame, names: list[str
     placed = leaves(vectors(sentences, n))
     rows = materialize(sentences.where(F.size("sentences") > 0).join(rated(labels, names), "doc_id", "left").join(placed, "doc_id", "left"), "subject-rows")
 
+    width = LEAVES + k
+
     def seen_in(b: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((n, LEAVES + k))
-        for s, g, leaf in zip(b["sentences"], b["given"], b["leaf"], strict=True):
-            s = s[s >= 0]
-            np.add.at(out, (s, int(leaf)), 1)
-            for j in [] if g is None else g:
-                np.add.at(out, (s, LEAVES + int(j)), 1 / len(g))
+        slot, starts, doc = _flat(b["sentences"].tolist())
+        of = np.repeat(doc, np.diff(np.append(starts, len(slot))))
+        out = np.bincount(slot * width + b["leaf"].to_numpy(dtype=np.int64)[of], minlength=n * width).reshape(n, width).astype(float)
+        for i in np.flatnonzero(b["given"].notna()):
+            given = np.asarray(b["given"].iloc[i])
+            s = np.bincount(slot[of == i], minlength=n)
+            out[:, LEAVES + given] += s[:, None] / len(given)
         return out
 
-    seen = _sum(rows, seen_in, (n, LEAVES + k))
+    seen = _sum(rows, seen_in, (n, width))
     by_leaf, by_subject = seen[:, :LEAVES], seen[:, LEAVES:]
     mixture = label_leaves(by_leaf, by_subject)
     telling = discriminative(by_leaf)
