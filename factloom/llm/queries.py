@@ -33,7 +33,7 @@ def _site() -> Column:
 def _line_state(spark: SparkSession, chunks: DataFrame, rows: DataFrame | None = None) -> site_lines.LineState:
     """The whole table as one delta upon the empty state."""
     rows = site_lines.lines(chunks, _site(), "doc_id", "text") if rows is None else rows
-    return site_lines.merge(site_lines.LineState.empty(spark), rows, site_lines.source_sizes(chunks, _site(), "doc_id"))[0]
+    return site_lines.merge(site_lines.LineState.empty(spark), rows, site_lines.source_docs(chunks, _site(), "doc_id"))[0]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +51,33 @@ def p3_stripped(spark: SparkSession, d: str) -> DataFrame:
     return out.select("chunk_id", "doc_id", "loaded_at", "deleted_at", "text", "lines_removed")
 
 
+#: Batches of p3_batches; one row in LATE comes a batch late, one in AGAIN comes once more in the last batch.
+BATCHES, LATE, AGAIN = 3, 9, 7
+
+
+def p3_batches(spark: SparkSession, d: str) -> DataFrame:
+    """p3_stripped by partitions of `loaded_at`: deltas of the state, and only documents with crossed lines made anew.
+
+    The state goes through files between partitions; some rows come late; lines of rows that come again count once.
+    """
+    chunks = table(spark, d, "chunks").select("chunk_id", "doc_id", "source_type", "file_name", "text", "loaded_at", "deleted_at")
+    bounds = chunks.agg(F.percentile_approx("loaded_at", [i / BATCHES for i in range(1, BATCHES)]).alias("b")).first()["b"] or []  # two moments
+    key = F.xxhash64("chunk_id", "loaded_at")
+    batch = sum((F.coalesce((F.col("loaded_at") > F.lit(b)).cast("int"), F.lit(0)) for b in bounds), F.lit(0)) + (F.pmod(key, F.lit(LATE)) == 0).cast("int")
+    rows = materialize(chunks.withColumns({"_batch": F.least(batch, F.lit(BATCHES - 1)), "_again": F.pmod(key, F.lit(AGAIN)) == 0}), "batched")
+    state, built = site_lines.LineState.empty(spark), None
+    for i in range(BATCHES):
+        part = rows.where(F.col("_batch") == i)
+        again = rows.where((F.col("_batch") < i) & F.col("_again")) if i == BATCHES - 1 else part.limit(0)
+        given = part.unionByName(again)
+        lines = materialize(site_lines.lines(given, _site(), "doc_id", "text"), "lines")
+        state, crossed = site_lines.merge(state, lines, site_lines.source_docs(given, _site(), "doc_id"))
+        crossed, state = materialize(crossed, "crossed"), state.save(f"lines-{i}")
+        built = site_lines.rebuild(built, rows.where(F.col("_batch") <= i), part, site_lines.affected(state, crossed), _site(), "doc_id", "text", state)
+        built = materialize(built, "built")
+    return built.select("chunk_id", "doc_id", "loaded_at", "deleted_at", "text", "lines_removed")
+
+
 def _survivors(spark: SparkSession, d: str) -> DataFrame:
     facts, companies, trust, metrics = (table(spark, d, t) for t in ("facts", "companies", "field_trust", "metric_registry"))
     return survivors.survivors(facts, companies, trust, metrics)
@@ -66,6 +93,16 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d)
 
 
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per group: how many records it has, its survivor where that one is beyond doubt, and whether it is one of the group."""
+    out = materialize(_survivors(spark, d), "survivors")
+    known = table(spark, d, "facts").select("fact_id", "doc_id", "metric", "period").distinct()
+    ours = out.join(known, "fact_id").select("group_id", F.struct("doc_id", "metric", "period").alias("a"))
+    theirs = out.join(known, out["group_id"] == known["fact_id"]).select("group_id", F.struct("doc_id", "metric", "period").alias("b"))
+    same = ours.join(theirs, "group_id").groupBy("group_id").agg(F.bool_or(F.col("a") == F.col("b")).alias("of_group"))
+    return out.join(same, "group_id").select("group_id", "n_records", F.when(F.col("sure"), F.col("fact_id")).alias("sure_fact_id"), "of_group")
+
+
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sized = materialize(tokens.sizes(table(spark, d, "documents"), "doc_id"), "sizes")
     specs = table(spark, d, "pack_specs")
@@ -82,6 +119,19 @@ def p6_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return packing.utilisation(*_packed(spark, d))
 
 
+def p6_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per spec: documents, those whose tokens all stand in containers exactly once, and containers over the capacity."""
+    sized = materialize(tokens.sizes(table(spark, d, "documents"), "doc_id"), "sizes")
+    specs = table(spark, d, "pack_specs")
+    placed = materialize(packing.pack(sized, specs, materialize), "placed")
+    pieces = placed.groupBy("spec_id", "doc_id").agg(F.sum("tokens").alias("held"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.count("*").alias("n"), F.countDistinct("first_token").alias("starts"))
+    whole = (F.col("held") == F.col("tokens")) & (F.col("end") == F.col("tokens")) & (F.col("n") == F.col("starts"))
+    docs = pieces.join(sized, "doc_id").groupBy("spec_id").agg(F.count("*").alias("n_documents"), F.count_if(whole).alias("n_whole"))
+    used = placed.groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("used"), F.count("*").alias("n")).join(specs, "spec_id")
+    over = used.groupBy("spec_id").agg(F.count_if(F.col("used") + F.coalesce("separator_tokens", F.lit(0)) * (F.col("n") - 1) > F.col("capacity_tokens")).alias("n_over"))
+    return docs.join(over, "spec_id")
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sized = materialize(tokens.sizes(table(spark, d, "documents"), "doc_id", "source"), "sizes")
     return mixing.draw(sized, table(spark, d, "mix_targets"), materialize)
@@ -97,6 +147,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*_mixed(spark, d))
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per mix and source: whether the repetition limit holds, and whether the share is met or the limit reached."""
+    out = mixing.report(*_mixed(spark, d))
+    met = (F.abs(F.coalesce("reached_share", F.lit(0.0)) - F.col("target_share")) <= 0.05) | F.col("at_limit")
+    return out.select("mix_id", "source", "target_share", (F.col("most_times") <= F.col("max_repeats")).alias("within_limit"), met.alias("met_or_at_limit"))
+
+
 def _classified(spark: SparkSession, d: str) -> DataFrame:
     return subjects.classify(*(table(spark, d, t) for t in ("documents", "labels", "subjects")))[0]
 
@@ -111,7 +168,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return _classified(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_stripped, p5_found, p5_survivors, p6_packing, p6_utilisation, p7_mix, p7_shares, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_stripped, p3_batches, p5_found, p5_survivors, p5_checked, p6_packing, p6_utilisation, p6_checked, p7_mix, p7_shares, p7_checked, p8_found, p8_composition)}
 
 _SURVIVORS = f"""with n as (select company_id, unnest(list_concat([name], coalesce(aliases, []))) as name from companies), f0 as (select fact_id, {sql_form('company')} as name, doc_id, metric, period, source_date, revision_status, value_type, accounting_scope, min(loaded_at) as t from facts group by all),
     f1 as (select fact_id, company_id, doc_id, metric, period, case when source_date <= cast(t as date) then date_diff('day', date '1900-01-01', source_date) else -1 end as d,
@@ -125,7 +182,17 @@ _LINES = f"""with l as (select chunk_id, doc_id, source_type, regexp_extract(fil
     s as (select source_type, site, count(distinct doc_id) as docs from l group by 1, 2), c as (select source_type, site, k, count(distinct doc_id) as n from l group by 1, 2, 3),
     bad as (select c.source_type, c.site, c.k from c join s on c.source_type = s.source_type and c.site = s.site where n >= 5 and n * 10 >= docs)"""
 
+_STRIPPED = f"""{_LINES}, r as (select row_number() over () as rid, chunk_id, doc_id, loaded_at, deleted_at, source_type, regexp_extract(file_name, '^[^_]*_[^_]*_[^_]*_([^：]*)：', 1) as site, text from chunks),
+      e as (select rid, source_type, site, unnest(range(len(string_split(text, chr(10))))) as n, unnest(string_split(text, chr(10))) as t, regexp_replace(unnest(string_split({sql_form('text')}, chr(10))), '[\\s0-9]+', '', 'g') as k from r),
+      done as (select rid, coalesce(string_agg(t, chr(10) order by n) filter (where bad.k is null), '') as t, count(bad.k) as gone from e left join bad on e.source_type is not distinct from bad.source_type and e.site = bad.site and e.k = bad.k group by rid)
+      select chunk_id, doc_id, loaded_at, deleted_at, done.t as text, cast(coalesce(gone, 0) as int) as lines_removed from r left join done on r.rid = done.rid"""
+
 ORACLE_SQL = {
     "p3_found": f"{_LINES} select distinct chunk_id, cast(line_no as int) as line_no from l join bad on l.source_type = bad.source_type and l.site = bad.site and l.k = bad.k",
+    "p3_stripped": _STRIPPED,
+    "p3_batches": _STRIPPED,
     "p5_found": f"{_SURVIVORS} select group_id, fact_id from top",
+    "p5_checked": f"{_SURVIVORS} select g.group_id, count(*) as n_records, max(top.fact_id) as sure_fact_id, true as of_group from g left join top on g.group_id = top.group_id where n > 1 group by 1",
+    "p6_checked": "with n as (select count(*) as n from documents where text is not null) select spec_id, n as n_documents, n as n_whole, 0 as n_over from pack_specs, n where capacity_tokens >= 1",
+    "p7_checked": "select mix_id, lower(trim(source)) as source, target_share, true as within_limit, true as met_or_at_limit from mix_targets where mix_id is not null and source is not null",
 }

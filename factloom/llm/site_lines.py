@@ -1,8 +1,9 @@
 """Lines repeated across one site's documents, kept as incremental per-source counts.
 
-State: `postings` (which document of which source holds which line, hashed), `counts` (documents per source and line)
-and `sizes` (documents per source).  `merge` adds only postings the state lacks, adds their counts, and reports the
-lines that crossed the threshold in either direction; `affected` names the documents to rebuild.
+State: `postings` (which document of which source holds which line, hashed), `counts` (documents per source and line),
+`docs` (documents of each source) and `sizes` (how many).  `merge` adds only what the state lacks and reports the lines
+that crossed the threshold in either direction: candidates are lines with a new posting and lines of sources that grew.
+`affected` names the documents to rebuild, `rebuild` makes their texts anew and leaves all others as they were.
 
 A line's key is its project's form without blanks and digits, hashed to 128 bits.  A source is (site, kind); nulls in
 either are one source of their own.  Null texts have no lines; an empty text has one empty line; lines of equal key
@@ -50,40 +51,56 @@ def lines(df: DataFrame, source: Column, doc: str, text: str, keep: list[str] |
 class LineState:
     postings: DataFrame
     counts: DataFrame
+    docs: DataFrame
     sizes: DataFrame
 
     @staticmethod
     def empty(spark: SparkSession) -> LineState:
         key = "src bigint, h1 bigint, h2 bigint"
-        return LineState(spark.createDataFrame([], key + ", doc bigint"), spark.createDataFrame([], key + ", n bigint"), spark.createDataFrame([], "src bigint, docs bigint"))
+        return LineState(*(spark.createDataFrame([], x) for x in (key + ", doc bigint", key + ", n bigint", "src bigint, doc bigint", "src bigint, docs bigint")))
 
     def save(self, name: str) -> LineState:
-        return LineState(*(materialize(t, f"{name}-{k}") for k, t in (("postings", self.postings), ("counts", self.counts), ("sizes", self.sizes))))
+        return LineState(*(materialize(t, f"{name}-{k}") for k, t in (("postings", self.postings), ("counts", self.counts), ("docs", self.docs), ("sizes", self.sizes))))
 
     def excessive(self) -> DataFrame:
         """Lines in at least MIN_DOCS documents of their source and in at least MIN_SHARE of them."""
-        return self.counts.where(F.col("n") >= MIN_DOCS).join(self.sizes, "src").where(F.col("n") * 10 >= F.col("docs") * int(MIN_SHARE * 10)).select(*LINE, "n", "docs")
+        return _excessive(self.counts, self.sizes)
 
 
-def build(rows: DataFrame, sizes: DataFrame) -> LineState:
-    """The state of a first load: no earlier postings to compare with."""
+def _excessive(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    share = F.lit(str(MIN_SHARE)).cast("decimal(10,9)")  # exact: a tenth is a tenth
+    return counts.where(F.col("n") >= MIN_DOCS).join(sizes, "src").where(F.col("n") >= F.col("docs") * share).select(*LINE, "n", "docs")
+
+
+def build(rows: DataFrame, docs: DataFrame) -> LineState:
+    """The state of a first load: no earlier postings to compare with.  `docs` are the documents of `source_docs`."""
     postings = rows.select(*LINE, "doc").distinct()
-    return LineState(postings, postings.groupBy(*LINE).agg(F.count("*").alias("n")), sizes)
+    return LineState(postings, postings.groupBy(*LINE).agg(F.count("*").alias("n")), docs, docs.groupBy("src").agg(F.count("*").alias("docs")))
+
 
+def source_docs(df: DataFrame, source: Column, doc: str) -> DataFrame:
+    return df.select(F.xxhash64(source).alias("src"), F.xxhash64(F.col(doc)).alias("doc")).distinct()
 
-def source_sizes(df: DataFrame, source: Column, doc: str) -> DataFrame:
-    return df.select(F.xxhash64(source).alias("src"), F.xxhash64(F.col(doc)).alias("doc")).distinct().groupBy("src").agg(F.count("*").alias("docs"))
 
+def _added(old: DataFrame, fresh: DataFrame, key: list[str], n: str) -> DataFrame:
+    return old.unionByName(fresh).groupBy(*key).agg(F.sum(n).alias(n))
 
-def merge(state: LineState, rows: DataFrame, docs_seen: DataFrame) -> tuple[LineState, DataFrame]:
-    """Fold a partition's lines in; also returns the lines whose standing changed (`now` true: newly excessive).
 
-    `docs_seen` are the documents per source after the partition.  Only postings the state lacks count.
+def merge(state: LineState, rows: DataFrame, docs: DataFrame) -> tuple[LineState, DataFrame]:
+    """Fold a partition's lines and documents in; only what the state lacks counts.
+
+    Also returns the lines whose standing changed (`now` true: newly excessive).
     """
     fresh = rows.select(*LINE, "doc").distinct().join(state.postings, [*LINE, "doc"], "left_anti")
-    counts = state.counts.unionByName(fresh.groupBy(*LINE).agg(F.count("*").alias("n"))).groupBy(*LINE).agg(F.sum("n").alias("n"))
-    new = LineState(state.postings.unionByName(fresh), counts, docs_seen)
-    was, now = state.excessive().select(*LINE), new.excessive().select(*LINE)
+    fresh_docs = docs.select("src", "doc").distinct().join(state.docs, ["src", "doc"], "left_anti")
+    delta, grown = fresh.groupBy(*LINE).agg(F.count("*").alias("n")), fresh_docs.groupBy("src").agg(F.count("*").alias("docs"))
+    counts, sizes = _added(state.counts, delta, LINE, "n"), _added(state.sizes, grown, ["src"], "docs")
+    new = LineState(state.postings.unionByName(fresh), counts, state.docs.unionByName(fresh_docs), sizes)
+    # only lines with a new posting, or of a source that grew, can have changed their standing
+    often = counts.where(F.col("n") >= MIN_DOCS)
+    touched = often.join(delta.select(*LINE), LINE, "left_semi").unionByName(often.join(grown.select("src"), "src", "left_semi")).select(*LINE, "n").distinct()
+    was = _excessive(state.counts.join(touched.select(*LINE), LINE, "left_semi"), state.sizes).select(*LINE)
+    now = _excessive(touched, sizes).select(*LINE)
     crossed = now.join(was, LINE, "left_anti").withColumn("now", F.lit(True)).unionByName(was.join(now, LINE, "left_anti").withColumn("now", F.lit(False)))
     return new, crossed
 
@@ -93,6 +110,16 @@ def affected(state: LineState, crossed: DataFrame) -> DataFrame:
     return state.postings.join(crossed.select(*LINE), LINE, "left_semi").select("src", "doc").distinct()
 
 
+def rebuild(built: DataFrame | None, seen: DataFrame, part: DataFrame, changed: DataFrame, source: Column, doc: str, text: str, state: LineState) -> DataFrame:
+    """Texts after a partition: the documents of `changed` and of `part` made anew from all rows `seen`, others as built."""
+    key = {"_s": F.xxhash64(source), "_d": F.xxhash64(F.col(doc))}
+    todo = changed.select(F.col("src").alias("_s"), F.col("doc").alias("_d")).unionByName(part.withColumns(key).select("_s", "_d")).distinct()
+    anew = strip(seen.withColumns(key).join(todo, ["_s", "_d"], "left_semi").drop("_s", "_d"), source, text, state.excessive())
+    if built is None:
+        return anew
+    return anew.unionByName(built.withColumns(key).join(todo, ["_s", "_d"], "left_anti").drop("_s", "_d"))
+
+
 def mark(rows: DataFrame, excessive: DataFrame) -> DataFrame:
     """Rows of `lines` that are excessive; the list is broadcast only if counting shows it small."""
     bad = materialize(excessive.select(*LINE), "site-lines")

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.form import to_form
 from factloom.llm import lookalikes, site_lines
+from factloom.session import materialize
 
 S = "chunk_id string, doc_id string, source_type string, file_name string, text string, extra string"
 def site():
@@ -47,7 +48,7 @@ def brute(rows):
 
 def found(df):
     rows = site_lines.lines(df, site(), "doc_id", "text", keep=["chunk_id"])
-    state = site_lines.build(rows, site_lines.source_sizes(df, site(), "doc_id"))
+    state = site_lines.build(rows, site_lines.source_docs(df, site(), "doc_id"))
     return {(r.chunk_id, r.line_no) for r in site_lines.mark(rows, state.excessive()).collect()}, state
 
 
@@ -65,18 +66,35 @@ def test_lines_against_brute_force(spark):
 def test_merge_in_parts_equals_one_load(spark):
     rows = corpus(30)
     whole = spark.createDataFrame(rows, S)
-    state = site_lines.LineState.empty(spark)
+    state, built = site_lines.LineState.empty(spark), None
     crossings = 0
     for a, b in ((0, 3), (3, 12), (10, 30)):  # the last part repeats two documents
-        part, seen = spark.createDataFrame(rows[a:b], S), spark.createDataFrame(rows[:b], S)
-        state, crossed = site_lines.merge(state, site_lines.lines(part, site(), "doc_id", "text"), site_lines.source_sizes(seen, site(), "doc_id"))
-        state = state.save("merge")
+        part, fresh, seen = (spark.createDataFrame(rows[i:b], S) for i in (a, max(a, 12 if a == 10 else a), 0))
+        state, crossed = site_lines.merge(state, site_lines.lines(part, site(), "doc_id", "text"), site_lines.source_docs(part, site(), "doc_id"))
+        crossed, state = materialize(crossed, "crossed"), state.save("merge")
         crossings += crossed.count()
         if a == 3:
             assert site_lines.affected(state, crossed).count() == 12
+        built = materialize(site_lines.rebuild(built, seen, fresh, site_lines.affected(state, crossed), site(), "doc_id", "text", state), "built")
     _, once = found(whole)
     key = lambda s: {tuple(r) for r in s.counts.collect()}
     assert key(state) == key(once) and crossings >= 1
+    assert {tuple(r) for r in built.collect()} == {tuple(r) for r in site_lines.strip(whole, site(), "text", once.excessive()).collect()}
+
+
+def test_a_line_that_loses_its_standing(spark):
+    """Documents without a line make it rarer: its documents are named and get it back."""
+    rows = corpus(30)
+    plain = [(f"p{i}", f"pd{i}", *rows[0][2:4], f"别的{'字' * i}", "e") for i in range(290)]
+    state, _ = site_lines.merge(site_lines.LineState.empty(spark), *sides(spark, rows[:28]))
+    state, crossed = site_lines.merge(state.save("a"), *sides(spark, plain))
+    crossed = materialize(crossed, "crossed")
+    assert [r.now for r in crossed.collect()] == [False] and site_lines.affected(state, crossed).count() == 28
+
+
+def sides(spark, rows):
+    df = spark.createDataFrame(rows, S)
+    return site_lines.lines(df, site(), "doc_id", "text"), site_lines.source_docs(df, site(), "doc_id")
 
 
 def test_empty(spark):

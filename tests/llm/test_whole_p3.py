@@ -11,7 +11,7 @@ D = "/root/testdata/sf0.001"
 
 def test_queries_go_through_merge(spark, monkeypatch):
     chunks, calls, merge = table(spark, D, "chunks"), [], site_lines.merge
-    state = site_lines.build(site_lines.lines(chunks, queries._site(), "doc_id", "text"), site_lines.source_sizes(chunks, queries._site(), "doc_id"))
+    state = site_lines.build(site_lines.lines(chunks, queries._site(), "doc_id", "text"), site_lines.source_docs(chunks, queries._site(), "doc_id"))
     whole = site_lines.strip(chunks, queries._site(), "text", state.excessive()).select("chunk_id", "doc_id", "loaded_at", "deleted_at", "text", "lines_removed")
     monkeypatch.setattr(site_lines, "merge", lambda *a: calls.append(1) or merge(*a))
     out = entry.queries()["p3_stripped"](spark, D)
