@@ -1,14 +1,20 @@
 """References to records that do not exist, tracked as keyed state over time.
 
-State is two tables: `index` (how many live rows every parent key has) and `refs` (every reference with its
-verdict at birth and whether it is open now).  `advance` folds one batch of parent events and new references in:
-new references probe the index as of their own time, arriving parents resolve waiting orphans, deletions reopen
-them.  Work is keyed by (target, key) and split by day, so a key that holds a third of all rows is spread over its
-days; nothing is collected and no key's rows are paired with each other.
+State is two tables: `moments` (by how much the number of live parent rows of a key changes at a moment) and `refs`
+(every distinct reference at its earliest time, with its verdict at birth and whether it is open now).  `advance` folds
+one batch of parent events and references in.  Only the keys that the batch touches are looked at: new references probe
+the moments of their key, arriving parents resolve waiting orphans, deletions reopen them, and events or references
+that come late re-judge what is known of their key.  Any cut of the history into batches, in any order, with any
+redelivery of references, ends in the same state.
+
+Work is keyed by (target, key) and split by hour; equal moments of a key are one row before anything is sorted, so a
+key that holds a third of all rows is spread over its hours, and a bulk load at one moment is one row.  Nothing is
+collected and no key's rows are paired with each other.
 
 Nulls: references without a letter or digit refer to nothing and are dropped; parents without key or `loaded_at`
 are dropped; a reference without time (`born`) is dropped, since it cannot be judged.  Ties: an arrival at the very
-moment of the reference counts as present, a deletion at that moment as gone.  Empty tables give empty states.
+moment of the reference counts as present, a deletion at that moment as gone.  Empty tables give empty states.  A parent
+event counts as often as it is given: batches of parent rows must not overlap.
 """
 
 from __future__ import annotations
@@ -21,23 +27,26 @@ from pyspark.sql import functions as F
 from factloom.functions.form import blank, match_key
 from factloom.session import materialize
 
-REF_COLS = ["src_table", "src_key", "ref_field", "ref_key", "target", "k1", "k2", "born"]
+REF = ["src_table", "src_key", "ref_field", "ref_key"]
+KEY = ["target", "k1", "k2"]
+REF_COLS = [*REF, *KEY, "born"]
 REF_SCHEMA = "src_table string, src_key string, ref_field string, ref_key string, target string, k1 bigint, k2 bigint, born timestamp"
-INDEX_SCHEMA = "target string, k1 bigint, k2 bigint, alive bigint"
+MOMENT_SCHEMA = "target string, k1 bigint, k2 bigint, ts timestamp, delta bigint"
 
 
 @dataclass
 class OrphanState:
-    index: DataFrame
+    moments: DataFrame
     refs: DataFrame
+    first: bool = False
 
     @staticmethod
     def empty(spark: SparkSession) -> OrphanState:
-        return OrphanState(spark.createDataFrame([], INDEX_SCHEMA), spark.createDataFrame([], REF_SCHEMA + ", dead_at_birth boolean, open boolean"))
+        return OrphanState(spark.createDataFrame([], MOMENT_SCHEMA), spark.createDataFrame([], REF_SCHEMA + ", dead_at_birth boolean, open boolean"), True)
 
     def save(self, name: str) -> OrphanState:
         """Write both tables to the shared folder, so that the next batch starts from files."""
-        return OrphanState(materialize(self.index, name + "-index"), materialize(self.refs, name + "-refs"))
+        return OrphanState(materialize(self.moments, name + "-moments"), materialize(self.refs, name + "-refs"))
 
 
 def _keyed(df: DataFrame, key) -> DataFrame:
@@ -47,10 +56,10 @@ def _keyed(df: DataFrame, key) -> DataFrame:
 
 
 def references(df: DataFrame, src_table: str, key: str, field: str, target: str) -> DataFrame:
-    """One row per distinct reference of `df.field` (a string or an array of strings), born at its earliest loading."""
+    """The references of `df.field` (a string or an array of strings) with their keys; `advance` makes them distinct."""
     value = F.explode(field) if dict(df.dtypes)[field].startswith("array") else F.col(field)
     refs = df.select(F.col(key).alias("src_key"), value.alias("ref_key"), F.col("loaded_at").alias("born"))
-    refs = refs.where(~blank(F.col("ref_key")) & F.col("born").isNotNull()).groupBy("src_key", "ref_key").agg(F.min("born").alias("born"))
+    refs = refs.where(~blank(F.col("ref_key")) & F.col("born").isNotNull())
     refs = refs.withColumns({"src_table": F.lit(src_table), "ref_field": F.lit(f"{src_table}.{field}"), "target": F.lit(target)})
     return _keyed(refs, F.col("ref_key")).select(*REF_COLS)
 
@@ -71,44 +80,45 @@ def parent_events(df: DataFrame, keys: dict[str, tuple[str, ...]]) -> DataFrame:
     return out
 
 
-def judge(refs: DataFrame, events: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """`refs` with `dead`: no parent row of the key lives at the reference's time.
+def judge(refs: DataFrame, moments: DataFrame) -> DataFrame:
+    """`refs` with `dead` (no parent row of the key lives at the reference's time) and `open` (none lives at the end).
 
-    First the net change per key and day gives the number alive as each day begins (rows per key are bounded by
-    days, whatever the key holds), then each key-day is swept on its own.
+    Parent events and references of one moment are one row.  The net change per key and hour gives the number alive
+    as each hour begins (rows per key are bounded by hours, whatever the key holds); then each key-hour is swept on its own.
     """
-    key, day = ["target", "k1", "k2"], F.to_date("ts")
-    moves = events.groupBy(*key, day.alias("day")).agg(F.sum("delta").alias("delta"))
-    marks = moves.unionByName(refs.select(*key, F.to_date("born").alias("day"), F.lit(0).cast("bigint").alias("delta")))
-    if index is not None:
-        marks = marks.unionByName(index.select(*key, F.to_date(F.lit("0001-01-01")).alias("day"), F.col("alive").alias("delta")))
-    days = marks.groupBy(*key, "day").agg(F.sum("delta").alias("delta"))
-    before = F.sum("delta").over(Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
-    start = days.select(*key, "day", F.coalesce(before, F.lit(0)).cast("bigint").alias("delta"), F.lit(0).alias("kind"))
-    payload = F.struct("src_table", "src_key", "ref_field", "ref_key", "born")
-    rows = start.withColumns({"ts": F.lit(None).cast("timestamp"), "ref": F.lit(None).cast("struct<src_table:string,src_key:string,ref_field:string,ref_key:string,born:timestamp>")})
-    rows = rows.unionByName(events.select(*key, day.alias("day"), "ts", "delta", F.lit(1).alias("kind")), allowMissingColumns=True)
-    rows = rows.unionByName(refs.select(*key, F.to_date("born").alias("day"), F.col("born").alias("ts"), F.lit(0).cast("bigint").alias("delta"), F.lit(2).alias("kind"), payload.alias("ref")))
-    sweep = Window.partitionBy(*key, "day").orderBy(F.col("ts").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("alive", F.sum("delta").over(sweep)).where(F.col("kind") == 2)
-    return rows.select("ref.src_table", "ref.src_key", "ref.ref_field", "ref.ref_key", *key, "ref.born", (F.col("alive") <= 0).alias("dead"))
+    hour = F.date_trunc("hour", "ts")
+    marks = moments.select(*KEY, "ts", "delta", F.lit(False).alias("asked")).unionByName(refs.select(*KEY, F.col("born").alias("ts"), F.lit(0).cast("bigint").alias("delta"), F.lit(True).alias("asked")))
+    marks = marks.groupBy(*KEY, "ts").agg(F.sum("delta").alias("delta"), F.bool_or("asked").alias("asked")).withColumn("hour", hour)
+    hours = marks.groupBy(*KEY, "hour").agg(F.sum("delta").alias("delta"), F.bool_or("asked").alias("asked"))
+    each, whole = Window.partitionBy(*KEY).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*KEY)
+    start = hours.select(*KEY, "hour", F.coalesce(F.sum("delta").over(each), F.lit(0)).cast("bigint").alias("delta"), F.sum("delta").over(whole).alias("in_all"), "asked").where("asked")
+    start = start.select(*KEY, "hour", F.lit(None).cast("timestamp").alias("ts"), "delta", "in_all", F.lit(False).alias("asked"))
+    rows = start.unionByName(marks.withColumn("in_all", F.lit(None).cast("bigint")))
+    sweep = Window.partitionBy(*KEY, "hour").orderBy(F.col("ts").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"alive": F.sum("delta").over(sweep), "in_all": F.first("in_all").over(sweep)}).where("asked")
+    verdicts = rows.select(*KEY, F.col("ts").alias("born"), (F.col("alive") <= 0).alias("dead"), (F.col("in_all") <= 0).alias("open"))
+    return refs.join(verdicts, [*KEY, "born"]).select(*REF_COLS, "dead", "open")
 
 
 def advance(state: OrphanState, refs: DataFrame, events: DataFrame) -> tuple[OrphanState, DataFrame]:
-    """Fold one batch in; returns the new state and the transitions (resolved, reopened) of older references.
-
-    `events` and `refs` of a batch lie after those of earlier batches (loading order); the result does not depend
-    on how time is cut into batches.
-    """
-    key = ["target", "k1", "k2"]
-    born = judge(refs, events, state.index).withColumnRenamed("dead", "dead_at_birth")
-    index = state.index.unionByName(events.groupBy(*key).agg(F.sum("delta").alias("alive"))).groupBy(*key).agg(F.sum("alive").alias("alive")).where("alive <> 0")
-    known = state.refs.unionByName(born.withColumn("open", F.lit(None).cast("boolean")))
-    now = known.join(index.where("alive > 0").select(*key, F.lit(True).alias("_live")), key, "left")
-    now = now.withColumns({"was": F.col("open"), "open": F.col("_live").isNull()}).drop("_live")
-    moved = now.where(F.col("was").isNotNull() & (F.col("was") != F.col("open")))
-    moved = moved.withColumn("transition", F.when(F.col("open"), "reopened").otherwise("resolved")).select(*REF_COLS, "transition")
-    return OrphanState(index, now.select(*REF_COLS, "dead_at_birth", "open")), moved
+    """Fold one batch in; returns the new state and the transitions (resolved, reopened, rejudged) of known references."""
+    if state.first:
+        new, moments = refs, events
+    else:
+        touched = materialize(refs.select(*KEY).unionByName(events.select(*KEY)).distinct(), "touched")
+        new = refs.unionByName(state.refs.join(touched, KEY, "left_semi").select(*REF_COLS))
+        moments = events.unionByName(state.moments.join(touched, KEY, "left_semi"))
+    new = new.groupBy(*REF).agg(F.min("born").alias("born"), *[F.first(k).alias(k) for k in KEY]).select(*REF_COLS)
+    judged = judge(new, moments).withColumnRenamed("dead", "dead_at_birth").select(*REF_COLS, "dead_at_birth", "open")
+    if state.first:
+        none = judged.where(F.lit(False)).select(*REF_COLS, F.lit(None).cast("string").alias("transition"))
+        return OrphanState(events.groupBy(*KEY, "ts").agg(F.sum("delta").alias("delta")), judged), none
+    judged = materialize(judged, "judged")
+    known = state.refs.join(touched, KEY, "left_semi").select(*REF, F.col("open").alias("was_open"), F.col("dead_at_birth").alias("was_dead"))
+    how = F.when(F.col("was_open") & ~F.col("open"), "resolved").when(~F.col("was_open") & F.col("open"), "reopened").when(F.col("was_dead") != F.col("dead_at_birth"), "rejudged")
+    moved = judged.join(known, REF).withColumn("transition", how).where("transition is not null").select(*REF_COLS, "transition")
+    kept = state.moments.unionByName(events).groupBy(*KEY, "ts").agg(F.sum("delta").alias("delta"))
+    return OrphanState(kept, state.refs.join(touched, KEY, "left_anti").unionByName(judged)), moved
 
 
 def snapshot(state: OrphanState) -> DataFrame:

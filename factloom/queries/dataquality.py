@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.form import sql_form
 from factloom.operators import orphans, units
-from factloom.session import table
+from factloom.session import materialize, table
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every reference that was dead when its record came: one advance of the state over the whole history."""
     refs, events = _references(spark, d)
     state, _ = orphans.advance(orphans.OrphanState.empty(spark), refs, events)
-    return state.refs.where("dead_at_birth").select("src_table", "src_key", "ref_field", "ref_key").distinct()
+    return state.refs.where("dead_at_birth").select("src_table", "src_key", "ref_field", "ref_key")
 
 
 def p1_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,31 @@ def p1_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.snapshot(state)
 
 
+#: Batches of p1_batches: one row in LATE comes a batch late, one reference in AGAIN comes once more in the last batch.
+BATCHES, LATE, AGAIN = 3, 9, 7
+
+
+def _batched(df: DataFrame, at: str, bounds: list, keys: list[str]) -> DataFrame:
+    """`df` with the batch (from 0) it comes in, by its time; some rows come a batch late."""
+    on_time = sum((F.when(F.col(at) > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+    late = (F.pmod(F.xxhash64(*keys), F.lit(LATE)) == 0).cast("int")
+    return df.withColumn("batch", F.least(on_time + late, F.lit(BATCHES - 1)))
+
+
+def p1_batches(spark: SparkSession, d: str) -> DataFrame:
+    """p1_orphan_counts by batches: the state goes through files between them, rows come late, references come again."""
+    refs, events = _references(spark, d)
+    bounds = table(spark, d, "facts").agg(F.percentile_approx("loaded_at", [i / BATCHES for i in range(1, BATCHES)]).alias("b")).first()["b"] or []  # two moments
+    refs = materialize(_batched(refs, "born", bounds, ["src_key", "ref_key"]), "batched-refs")
+    events = materialize(_batched(events, "ts", bounds, ["k1", "k2", "ts"]), "batched-events")
+    again = refs.where(F.pmod(F.xxhash64("src_key", "born"), F.lit(AGAIN)) == 0).withColumn("batch", F.lit(BATCHES - 1))
+    state = orphans.OrphanState.empty(spark)
+    for i in range(BATCHES):
+        state, _ = orphans.advance(state, refs.unionByName(again).where(F.col("batch") == i).drop("batch"), events.where(F.col("batch") == i).drop("batch"))
+        state = state.save(f"batch-{i}")
+    return orphans.snapshot(state)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Facts whose stored value differs from the printed quantity in their metric's common unit."""
     facts, metrics = table(spark, d, "facts"), table(spark, d, "metric_registry")
@@ -49,7 +74,7 @@ def p4_units_seen(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("dimension", "unit_used", "unit_from").agg(F.count("*").alias("n"), F.sum(wrong).alias("n_off"), F.min("factor").alias("factor"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphan_counts, p4_found, p4_units_seen)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphan_counts, p1_batches, p4_found, p4_units_seen)}
 
 
 def _key(x: str) -> str:
@@ -70,7 +95,10 @@ _ORPHANS = f"""with r0 as ({_REFS}), r as (select src_table, src_key, ref_field,
     alive as (select distinct r.src_key, r.ref_field, r.ref_key from r join p on p.target = r.target and p.k = r.k and p.a <= r.t and (p.b is null or p.b > r.t)),
     now as (select distinct target, k from p where b is null), dead as (select r.*, alive.src_key is null as dead, now.k is null as open from r left join alive on alive.src_key = r.src_key and alive.ref_field = r.ref_field and alive.ref_key = r.ref_key left join now on now.target = r.target and now.k = r.k)"""
 
+_COUNTS = f"{_ORPHANS} select src_table, ref_field, strftime(t, '%Y-%m') as month, count(*) as n_refs, count(*) filter (where dead) as n_dead, count(*) filter (where open) as n_open from dead group by 1, 2, 3"
+
 ORACLE_SQL = {
     "p1_found": f"{_ORPHANS} select src_table, src_key, ref_field, ref_key from dead where dead",
-    "p1_orphan_counts": f"{_ORPHANS} select src_table, ref_field, strftime(t, '%Y-%m') as month, count(*) as n_refs, count(*) filter (where dead) as n_dead, count(*) filter (where open) as n_open from dead group by 1, 2, 3",
+    "p1_orphan_counts": _COUNTS,
+    "p1_batches": _COUNTS,
 }

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import orphans
 
@@ -68,6 +69,25 @@ def test_batches_agree_with_one_load(spark):
     assert sum(r.n_refs for r in counts) == len(brute(parents, facts))
 
 
+def test_redelivered_and_late_rows(spark):
+    """A reference that comes again in a later batch stays one; parents and references that come late re-judge their key."""
+    refs, events = frames(spark, [("c1", None, hours(4), None, "")], [("f1", "c1", hours(1), ""), ("f1", "c1", hours(5), "")])
+    state, _ = orphans.advance(orphans.OrphanState.empty(spark), refs.where(f"born < timestamp'{hours(3)}'"), events.limit(0))
+    state, moved = orphans.advance(state.save("a"), refs.where(f"born > timestamp'{hours(3)}'"), events)
+    assert state_of(state) == {("f1", "c1"): (True, False)} and orphans.snapshot(state).first().n_refs == 1
+    assert [r.transition for r in moved.collect()] == ["resolved"]
+    for seed in (4, 5):
+        parents, facts = make(seed)
+        refs, events = frames(spark, parents, facts)
+        refs, events = refs.withColumn("b", F.pmod(F.hash("src_key", "born"), F.lit(3))), events.withColumn("b", F.pmod(F.hash("k1", "ts", "delta"), F.lit(3)))
+        state = orphans.OrphanState.empty(spark)
+        for i in range(3):  # in no order of time at all
+            part = refs.where((F.col("b") == i) | (F.col("b") == 0)).drop("b")
+            state, _ = orphans.advance(state, part, events.where(F.col("b") == i).drop("b"))
+            state = state.save("late")
+        assert state_of(state) == brute(parents, facts)
+
+
 def test_empty_and_hot_key(spark):
     refs, events = frames(spark, [], [])
     state, _ = orphans.advance(orphans.OrphanState.empty(spark), refs, events)
