@@ -112,27 +112,23 @@ def support_span(c: Column, most: int = 180) -> Column:
 
 def words(c: Column) -> Column:
     """Search tokens as a bag: Latin words and numbers, and Han bigrams (single characters where a run has one)."""
-    n = F.lower(normalize(c))
+    n = F.lower(c)  # blanks and line ends are no part of tokens
     han = r"[\x{4E00}-\x{9FFF}]"
     pairs = F.regexp_extract_all(n, F.lit(rf"(?=({han}{{2}})){han}"), F.lit(1))  # the look-ahead lets pairs overlap
     lone = F.regexp_extract_all(n, F.lit(rf"(?<!{han}){han}(?!{han})"), F.lit(0))
     return F.concat(F.regexp_extract_all(n, F.lit("[a-z0-9]+"), F.lit(0)), pairs, lone)
 
 
-def terms(c: Column) -> Column:
-    """(term, order) of every Latin word and Han run of two and more; long runs also give their 2- and 3-grams."""
-    runs = F.regexp_extract_all(F.lower(normalize(c)), F.lit(r"[a-z]{2,}|[\x{4E00}-\x{9FFF}]{2,}"), F.lit(0))
+def runs(c: Column) -> Column:
+    """Latin words and Han runs of two and more characters, in order."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z]{2,}|[\x{4E00}-\x{9FFF}]{2,}"), F.lit(0))
 
-    def grams(r: Column, i: Column, n: int, at) -> Column:
-        k = F.length(r) - (n - 1)
-        return F.transform(F.sequence(F.lit(1), k), lambda j: F.struct(F.substring(r, j, F.lit(n)).alias("term"), (i.cast("bigint") * 100000 + at(j)).alias("ord")))
 
-    def of(r: Column, i: Column) -> Column:
-        one = F.array(F.struct(r.alias("term"), (i.cast("bigint") * 100000).alias("ord")))
-        long = r.rlike(r"^[\x{4E00}-\x{9FFF}]") & (F.length(r) > 4)
-        return F.when(long, F.concat(one, grams(r, i, 2, lambda j: j), grams(r, i, 3, lambda j: j + F.length(r)))).otherwise(one)
-
-    return F.flatten(F.transform(runs, of))
+def grams(run: str) -> list[str]:
+    """A run as terms: itself, and the 2- and 3-grams of a Han run of more than four characters."""
+    if len(run) <= 4 or run[0] < "\u4e00":
+        return [run]
+    return [run, *(run[i : i + 2] for i in range(len(run) - 1)), *(run[i : i + 3] for i in range(len(run) - 2))]
 
 
 def industry(file_name: Column) -> Column:

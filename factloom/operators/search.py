@@ -1,27 +1,36 @@
 """Batch retrieval: all queries of a set against all rows at once.
 
-Postings, document frequencies and lengths are tables; BM25 is a join of query tokens with postings and a sum.  Dense
-search multiplies every partition of vectors with the query set in blocks and keeps the best of each partition before
-the final ranking.  Scopes and filters apply before the cut to the best, so a scoped search loses nothing.  Ties go to
-the smaller id.  Null texts and vectors are not indexed; a query without known tokens has no hits.
+The index is three tables written once per corpus: the tokens of each document, the document frequency of each token,
+and three numbers.  BM25 is a join of the queries' tokens with their postings and a sum, held exact and sparse at once:
+the most telling tokens of a query give a score that its k-th hit reaches at least, and documents that hold none of the
+tokens which could lift them that far are never scored.  Dense search multiplies blocks of rows with blocks of queries
+and keeps the k best of each block before the final ranking.  Scopes and filters apply before scoring, so a scoped
+search loses nothing.  Ties go to the smaller id.  Null texts and vectors are not indexed; a query without known tokens
+has no hits.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.session import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Vectors of queries shipped to the tasks at once (rows); more queries go in further blocks.
-QUERY_BLOCK = 4096
-ALPHA, BETA, TITLE_WEIGHT = 0.6, 0.4, 0.12
-#: Postings of one token are spread over this many salts once a token is in more documents than SALT_ABOVE.
-SALTS, SALT_ABOVE = 16, 100_000
+#: Vectors of queries, and of rows, multiplied at once (queries: on average, by hash).
+QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+ALPHA, BETA = 0.6, 0.4
+#: A query's telling tokens: the first, and further ones while they stand in this many documents together.
+SEED_DOCS = 2_000
+#: Scores are told apart from here on.
+DIGITS = 6
 
 
 def best(hits: DataFrame, k: int, query: str, doc: str, score: str = "score") -> DataFrame:
@@ -30,75 +39,120 @@ def best(hits: DataFrame, k: int, query: str, doc: str, score: str = "score") ->
     return hits.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def index(docs: DataFrame, doc: str, text: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings: doc, token, tf, dl; token statistics: token, df; corpus: n, avgdl).
+@dataclass
+class Index:
+    """`words`: doc, ws (bag of tokens), and the scope if there is one; `tokens`: token, df; documents, mean length, mean idf."""
+
+    words: DataFrame
+    tokens: DataFrame
+    n: int
+    avgdl: float
+    mean_idf: float
+
+    def idf(self) -> Column:
+        """Okapi; negative values are raised to EPSILON of the mean."""
+        raw = _raw_idf(self.n)
+        return F.when(raw < 0, F.lit(EPSILON * self.mean_idf)).otherwise(raw)
+
+
+def _raw_idf(n: int) -> Column:
+    return F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def index(docs: DataFrame, doc: str, text: Column, *kept: str) -> Index:
+    """Cut every text once; `kept` columns stay beside the tokens."""
+    words = materialize(docs.select(doc, *kept, tx.words(text).alias("ws")).where("ws is not null"), "words")
+    n, length = words.agg(F.count("*"), F.avg(F.size("ws"))).first()  # two numbers
+    tokens = materialize(words.select(F.explode(F.array_distinct("ws")).alias("token")).groupBy("token").agg(F.count("*").alias("df")), "tokens")
+    mean = tokens.agg(F.avg(_raw_idf(n)).alias("m")).first()["m"] if n else 0.0
+    return Index(words, tokens, n, length or 1.0, mean or 0.0)
 
-    Postings are written once, so that texts are cut once; a document without tokens keeps one row of null token.
+
+_saved: dict[tuple, tuple] = {}
+
+
+def saved_index(spark: SparkSession, docs: DataFrame, doc: str, text: str, *kept: str) -> Index:
+    """The index of a stored table, built once per application and version of its files."""
+    files = sorted(docs.inputFiles())
+    version = docs.select("_metadata.file_path", "_metadata.file_modification_time").agg(F.max("file_modification_time").alias("t")).first()["t"]
+    key = (spark.sparkContext.applicationId, tuple(files), version, doc, text, kept)
+    if key in _saved:
+        (words, ws), (tokens, ts), *numbers = _saved[key]
+        try:
+            return Index(spark.read.schema(ws).parquet(words), spark.read.schema(ts).parquet(tokens), *numbers)
+        except AnalysisException:  # the shared folder was cleaned
+            del _saved[key]
+    made = index(docs.where(F.col(text).isNotNull()), doc, F.col(text), *kept)
+    place = lambda df: (df.inputFiles()[0].rsplit("/", 1)[0], df.schema) if df.inputFiles() else None
+    if made.n:
+        _saved[key] = (place(made.words), place(made.tokens), made.n, made.avgdl, made.mean_idf)
+    return made
+
+
+def bm25(queries: DataFrame, query: str, text: Column, index: Index, doc: str, k: int, scope: str | None = None) -> DataFrame:
+    """The k best documents of each query by BM25 with score and `rk`; within the same `scope` value if one is named.
+
+    `scope` is a column of the queries and of the index; a null one matches nothing.
     """
-    tokens = docs.select(doc, tx.words(text).alias("ws")).where("ws is not null")
-    each = tokens.select(doc, F.size("ws").alias("dl"), F.explode_outer("ws").alias("token"))
-    rows = materialize(each.groupBy(doc, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
-    postings = rows.where("token is not null")
-    sizes = rows.groupBy(doc).agg(F.first("dl").alias("dl"))
-    return postings, postings.groupBy("token").agg(F.count("*").alias("df")), sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def bm25(queries: DataFrame, query: str, text: Column, docs: DataFrame, doc: str, doc_text: Column) -> DataFrame:
-    """BM25 scores (Okapi; negative idf raised to EPSILON of the mean idf) of every query and document that share a token."""
-    postings, df, corpus = index(docs, doc, doc_text)
-    n, avgdl = (corpus.first()[c] for c in ("n", "avgdl"))  # one row
-    if not n:
-        return queries.select(query).limit(0).join(docs.select(doc).limit(0), F.lit(True)).withColumn("score", F.lit(0.0))
-    raw = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = materialize(df, "token-df")
-    mean = df.agg(F.avg(raw).alias("m")).first()["m"] or 0.0  # one row
-    idf = F.when(raw < 0, F.lit(EPSILON * mean)).otherwise(raw)
-    asked = queries.select(query, F.explode(tx.words(text)).alias("token")).groupBy(query, "token").agg(F.count("*").alias("qf"))
-    asked = asked.join(df.select("token", "df", idf.alias("idf")), "token")
-    part = F.when(F.col("df") > SALT_ABOVE, F.pmod(F.xxhash64(doc), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    asked = asked.withColumn("salt", F.explode(F.when(F.col("df") > SALT_ABOVE, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    salted = postings.join(asked.select("token", "df").distinct(), "token").withColumn("salt", part).drop("df")
-    weight = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
-    return salted.join(asked.drop("df"), ["token", "salt"]).groupBy(query, doc).agg(F.round(F.sum(weight), 6).alias("score"))
+    by = [scope] if scope else []
+    asked = queries.select(query, *by, F.explode(tx.words(text)).alias("token")).groupBy(query, *by, "token").agg(F.count("*").alias("qf"))
+    asked = materialize(asked.join(index.tokens, "token").withColumn("factor", F.col("qf") * index.idf()).drop("qf"), "asked")
+    each = index.words.select(doc, *by, F.size("ws").alias("dl"), F.explode("ws").alias("token")).join(asked.select("token", *by).distinct(), ["token", *by], "left_semi")
+    counted = each.groupBy(doc, *by, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
+    postings = materialize(counted.select(doc, *by, "token", weight.alias("weight")), "postings")
+    # the most that each token can add, and all tokens from it on, in the order of what they can add
+    most = postings.groupBy("token", *by).agg(F.max("weight").alias("top"), F.count("*").alias("hits"))
+    order = Window.partitionBy(query).orderBy(F.desc("bound"), "token")
+    steps = asked.join(most, ["token", *by]).withColumn("bound", F.col("factor") * F.col("top"))
+    steps = steps.withColumns({
+        "rest": F.sum("bound").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        "seed": (F.row_number().over(order) == 1) | (F.sum("hits").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) <= SEED_DOCS),
+    })
+    steps = materialize(steps.select(query, *by, "token", "factor", "rest", "seed"), "steps")
+    part = F.sum(F.col("factor") * F.col("weight"))
+    seeds = postings.join(steps.where("seed"), ["token", *by]).groupBy(query, doc).agg(part.alias("score"))
+    reach = best(seeds, k, query, doc).where(F.col("rk") == k).select(query, F.col("score").alias("least"))
+    steps = steps.join(reach, query, "left").withColumn("must", F.lit(index.mean_idf < 0) | F.col("least").isNull() | (F.col("rest") >= F.col("least") - 10.0 ** (1 - DIGITS)))
+    found = materialize(postings.join(steps.where("must"), ["token", *by]).groupBy(query, doc).agg(part.alias("score")), "found")
+    more = found.select(query, doc).join(steps.where("not must").select(query, "token", "factor"), query).join(postings.select(doc, "token", "weight"), [doc, "token"])
+    scored = found.unionByName(more.groupBy(query, doc).agg(part.alias("score"))).groupBy(query, doc).agg(F.round(F.sum("score"), DIGITS).alias("score"))
+    return best(scored, k, query, doc)
 
 
 def dense(queries: DataFrame, query: str, rows: DataFrame, doc: str, vector: str, k: int) -> DataFrame:
     """Exact inner-product top k of every query vector against every row, without comparing a row with itself.
 
-    A stated query set goes to the tasks in blocks of QUERY_BLOCK vectors; each partition returns k rows per query.
+    The stated query set is cut into blocks of QUERY_BLOCK, the rows into blocks of ROW_BLOCK; every two blocks are
+    multiplied in one task and leave k rows per query.
     """
     asked = queries.where(F.col(vector).isNotNull()).select(query, vector)
-    ids = [r[query] for r in asked.select(query).orderBy(query).collect()]  # ids of a stated query set
-    spark, found = rows.sparkSession, None
-    for at in range(0, len(ids), QUERY_BLOCK):
-        block = asked.where(F.col(query).isin(ids[at : at + QUERY_BLOCK])).collect()
-        held = spark.sparkContext.broadcast((np.array([r[query] for r in block]), np.array([r[vector] for r in block], dtype=np.float32)))
-
-        def search(batches, held=held):
-            names, q = held.value
-            top: list[pd.DataFrame] = []
-            for b in batches:
-                b = b[b[vector].notna()]
-                if not len(b):
-                    continue
-                m = np.stack(b[vector].to_numpy()).astype(np.float32)
-                scores = np.round((q.astype(np.float64) @ m.T.astype(np.float64)), 6)
-                who = b[doc].to_numpy()
+    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    q = asked.withColumn("block", F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct(F.col(query).alias("i"), F.col(vector).alias("v"))).alias("qs"))
+    q = q.select("block", F.col("qs.i").alias("q_ids"), F.flatten("qs.v").cast("array<float>").alias("q_flat"))
+    kind, kind_q = dict(rows.dtypes)[doc], dict(asked.dtypes)[query]
+
+    def pack(batches):
+        for b in batches:
+            b = b[b[vector].notna()].sort_values(doc)
+            for i in range(0, len(b), ROW_BLOCK):
+                part = b[i : i + ROW_BLOCK]
+                yield pd.DataFrame({"ids": [part[doc].to_numpy()], "flat": [np.concatenate(part[vector].to_numpy()).astype(np.float32)]})
+
+    def search(batches):
+        for b in batches:
+            for names, q_flat, who, flat in zip(b["q_ids"], b["q_flat"], b["ids"], b["flat"], strict=True):
+                a, m = np.reshape(q_flat, (len(names), -1)).astype(np.float64), np.reshape(flat, (len(who), -1)).astype(np.float64)
+                scores = np.round(a @ m.T, DIGITS)
                 scores[names[:, None] == who[None, :]] = -np.inf
-                keep = min(k, scores.shape[1])
-                for i in range(len(names)):
-                    order = np.lexsort((who, -scores[i]))[:keep]
-                    top.append(pd.DataFrame({query: names[i], "doc": who[order], "score": scores[i, order]}))
-            if top:
-                out = pd.concat(top)
-                yield out[np.isfinite(out.score)]
-
-        kind = dict(rows.dtypes)[doc]
-        hits = rows.select(doc, vector).mapInPandas(search, f"{query} {dict(asked.dtypes)[query]}, doc {kind}, score double")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = spark.createDataFrame([], f"{query} {dict(asked.dtypes)[query]}, doc {dict(rows.dtypes)[doc]}, score double")
-    return best(found, k, query, "doc")
+                at = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # rows are in the order of their ids
+                top = np.take_along_axis(scores, at, axis=1).ravel()
+                out = pd.DataFrame({query: np.repeat(names, at.shape[1]), "doc": who[at.ravel()], "score": top})
+                yield out[np.isfinite(top)]
+
+    packed = rows.select(doc, vector).mapInPandas(pack, f"ids array<{kind}>, flat array<float>")
+    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "block").select("q_ids", "q_flat", "ids", "flat")
+    return best(pairs.mapInPandas(search, f"{query} {kind_q}, doc {kind}, score double"), k, query, "doc")
 
 
 def min_max(hits: DataFrame, query: str, score: str, name: str) -> DataFrame:
@@ -109,11 +163,11 @@ def min_max(hits: DataFrame, query: str, score: str, name: str) -> DataFrame:
 
 
 def fuse(left: DataFrame, right: DataFrame, query: str, doc: str) -> DataFrame:
-    """Full outer merge of two scaled hit lists; a missing score is 0."""
-    a = min_max(left, query, "score", "dense_score").select(query, doc, "dense_score")
+    """Full outer merge of two scaled hit lists, titles and BM25; a missing score is 0."""
+    a = min_max(left, query, "score", "title_score").select(query, doc, "title_score")
     b = min_max(right, query, "score", "bm25_score").select(query, doc, "bm25_score")
-    out = a.join(b, [query, doc], "full_outer").na.fill(0.0, ["dense_score", "bm25_score"])
-    return out.withColumn("score", F.round(ALPHA * F.col("dense_score") + BETA * F.col("bm25_score"), 6))
+    out = a.join(b, [query, doc], "full_outer").na.fill(0.0, ["title_score", "bm25_score"])
+    return out.withColumn("score", F.round(ALPHA * F.col("title_score") + BETA * F.col("bm25_score"), 6))
 
 
 def metrics(hits: DataFrame, queries: DataFrame, query: str, gold: DataFrame, doc: str) -> DataFrame:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.operators import search
-from factloom.session import table
+from factloom.session import materialize, table
 
 K = 20
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null")
+def _index(spark: SparkSession, d: str) -> search.Index:
+    return search.saved_index(spark, table(spark, d, "documents"), "doc_id", "text")
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -22,8 +24,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str, k: int = K) -> DataFrame:
-    hits = search.bm25(_asked(spark, d), "query_id", F.col("title"), _docs(spark, d), "doc_id", F.col("text"))
-    return search.best(hits, k, "query_id", "doc_id")
+    return search.bm25(_asked(spark, d), "query_id", F.col("title"), _index(spark, d), "doc_id", k)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -44,22 +45,25 @@ def _title_hits(spark: SparkSession, d: str) -> DataFrame:
     return search.best(hits.withColumn("score", F.round(F.col("m") / F.col("n"), 6)), K, "query_id", "doc_id").select("query_id", "doc_id", "score", "rk")
 
 
+def _fused(title: DataFrame, bm25: DataFrame) -> DataFrame:
+    return search.best(search.fuse(title, bm25, "query_id", "doc_id"), K, "query_id", "doc_id")
+
+
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return search.best(search.fuse(_title_hits(spark, d), _bm25(spark, d), "query_id", "doc_id"), K, "query_id", "doc_id")
+    return _fused(_title_hits(spark, d), _bm25(spark, d))
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid(spark, d).select("query_id", "doc_id", F.round("dense_score", 6).alias("dense_score"), F.round("bm25_score", 6).alias("bm25_score"), "score", "rk")
+    return _hybrid(spark, d).select("query_id", "doc_id", F.round("title_score", 6).alias("title_score"), F.round("bm25_score", 6).alias("bm25_score"), "score", "rk")
 
 
 def scoped_search(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 within the query's own source; the scope applies before the cut, so every query fills its list."""
-    source = F.lower(F.trim("source"))
-    docs = table(spark, d, "documents").select("doc_id", source.alias("source"))
-    hits = search.bm25(_asked(spark, d), "query_id", F.col("title"), _docs(spark, d), "doc_id", F.col("text"))
-    own = docs.select(F.col("doc_id").alias("query_id"), F.col("source").alias("query_source"))
-    hits = hits.join(docs, "doc_id").join(own, "query_id").where("source = query_source")
-    return search.best(hits, 5, "query_id", "doc_id").select("query_id", "doc_id", "score", "rk")
+    """BM25 within the query's own source; the scope applies to the postings, before anything is scored."""
+    docs = table(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("scope"))
+    made = _index(spark, d)
+    made = replace(made, words=made.words.join(docs.where("scope is not null"), "doc_id"))
+    asked = _asked(spark, d).join(docs.withColumnRenamed("doc_id", "query_id"), "query_id")
+    return search.bm25(asked, "query_id", F.col("title"), made, "doc_id", 5, "scope").select("query_id", "doc_id", "score", "rk")
 
 
 def domain_priority(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +93,8 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     asked = _asked(spark, d)
     gold = asked.select("query_id", F.col("query_id").alias("doc_id"))
     out = None
-    for name, hits in (("bm25", _bm25(spark, d)), ("title", _title_hits(spark, d)), ("hybrid", _hybrid(spark, d))):
+    bm25, title = materialize(_bm25(spark, d), "bm25"), materialize(_title_hits(spark, d), "titles")
+    for name, hits in (("bm25", bm25), ("title", title), ("hybrid", _fused(title, bm25))):
         one = search.metrics(hits, asked, "query_id", gold, "doc_id").withColumn("method", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
@@ -99,7 +104,8 @@ def retrieval_badcases(spark: SparkSession, d: str) -> DataFrame:
     """Queries whose own document is not among the ten best, per method."""
     asked = _asked(spark, d).select("query_id")
     out = None
-    for name, hits in (("bm25", _bm25(spark, d)), ("hybrid", _hybrid(spark, d))):
+    bm25 = materialize(_bm25(spark, d), "bm25")
+    for name, hits in (("bm25", bm25), ("hybrid", _fused(_title_hits(spark, d), bm25))):
         good = hits.where("rk <= 10 and query_id = doc_id").select("query_id")
         one = asked.join(good, "query_id", "left_anti").withColumn("method", F.lit(name))
         out = one if out is None else out.unionByName(one)
@@ -126,7 +132,7 @@ def diverse_docs(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_select(spark: SparkSession, d: str) -> DataFrame:
     """Numbered evidence of each query: up to five hits with any title overlap, best first."""
-    hits = _hybrid(spark, d).where("dense_score > 0")
+    hits = _hybrid(spark, d).where("title_score > 0")
     w = Window.partitionBy("query_id").orderBy("rk")
     return hits.withColumn("n", F.row_number().over(w)).where("n <= 5").select("query_id", "doc_id", F.concat(F.lit("E"), F.col("n").cast("string")).alias("evidence_id"))
 
@@ -203,9 +209,9 @@ def _hits() -> str:
     tq as (select query_id, unnest(list_distinct({_words(s_norm('title'))})) as token from asked), tn as (select query_id, count(*) as n from tq group by 1), th as (select doc_id, unnest(list_distinct({_words(s_norm('title'))})) as token from documents where title is not null),
     ts as (select query_id, doc_id, round(m / n, 6) as score from (select query_id, doc_id, count(*) as m from th join tq using (token) group by 1, 2) join tn using (query_id)),
     ti as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rk from ts) where rk <= {K}),
-    ta as (select query_id, doc_id, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as dense_score from ti window w as (partition by query_id)),
+    ta as (select query_id, doc_id, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as title_score from ti window w as (partition by query_id)),
     ba as (select query_id, doc_id, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as bm25_score from bm window w as (partition by query_id)),
-    fu as (select query_id, doc_id, coalesce(dense_score, 0) as dense_score, coalesce(bm25_score, 0) as bm25_score, round(0.6 * coalesce(dense_score, 0) + 0.4 * coalesce(bm25_score, 0), 6) as score from ta full join ba using (query_id, doc_id)),
+    fu as (select query_id, doc_id, coalesce(title_score, 0) as title_score, coalesce(bm25_score, 0) as bm25_score, round(0.6 * coalesce(title_score, 0) + 0.4 * coalesce(bm25_score, 0), 6) as score from ta full join ba using (query_id, doc_id)),
     hy as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rk from fu) where rk <= {K}),
     so as (select doc_id, coalesce(lower(trim(source)), '') as source, lower(trim(source)) as src, case when lower(lang) like 'zh%' or lower(lang) = 'cn' then 'zh' when lower(lang) like 'en%' then 'en' end as lang from documents)"""
 
@@ -221,7 +227,7 @@ def _oracle() -> dict[str, str]:
         "bm25_topk": h + " select query_id, doc_id, score, rk from bm",
         "dense_topk": """with s as (select a.vec_id as query_id, b.vec_id, round(list_inner_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as score from embeddings a, embeddings b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
             r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rk from s) select * from r where rk <= 10""",
-        "hybrid_topk": h + " select query_id, doc_id, round(dense_score, 6) as dense_score, round(bm25_score, 6) as bm25_score, score, rk from hy",
+        "hybrid_topk": h + " select query_id, doc_id, round(title_score, 6) as title_score, round(bm25_score, 6) as bm25_score, score, rk from hy",
         "scoped_search": h + ", s2 as (select sc.query_id, sc.doc_id, sc.score, row_number() over (partition by sc.query_id order by sc.score desc, sc.doc_id) as rk from sc join so a on a.doc_id = sc.doc_id join so b on b.doc_id = sc.query_id where a.src = b.src) select * from s2 where rk <= 5",
         "domain_priority": h + ", s2 as (select bm.query_id, bm.doc_id, bm.rk, case when a.lang = b.lang then 0 when a.lang is null or b.lang is null then 1 else 2 end as bucket from bm join so a on a.doc_id = bm.doc_id join so b on b.doc_id = bm.query_id) select query_id, doc_id, bucket, row_number() over (partition by query_id order by bucket, rk) as new_rk from s2",
         "rerank_candidates": h + f""", th2 as (select doc_id, title, length(coalesce(text, '')) < 100 as thin from documents), e as (select hy.*, thin, title, count(*) filter (where not thin) over (partition by query_id) >= 5 as enough from hy join th2 using (doc_id)),
@@ -231,7 +237,7 @@ def _oracle() -> dict[str, str]:
         "retrieval_badcases": h + " " + " union all ".join(f"select '{m}' as method, query_id from asked where query_id not in (select query_id from {t} where rk <= 10 and query_id = doc_id)" for m, t in (("bm25", "bm"), ("hybrid", "hy"))),
         "doc_candidates": h + ", s2 as (select bm.*, source, row_number() over (partition by query_id, source order by rk) as r from bm join so using (doc_id)), g as (select query_id, source, max(score) as best_score, round(sum(score) filter (where r <= 2), 6) as top2, count(*) as n_hits from s2 group by 1, 2) select *, row_number() over (partition by query_id order by top2 desc, source) as rk from g",
         "diverse_docs": h + ", s2 as (select bm.*, source, row_number() over (partition by query_id, source order by rk) as nth from bm join so using (doc_id)), s3 as (select query_id, doc_id, source, row_number() over (partition by query_id order by cast(nth > 1 as int), rk) as new_rk from s2) select * from s3 where new_rk <= 5",
-        "evidence_select": h + ", s2 as (select query_id, doc_id, row_number() over (partition by query_id order by rk) as n from hy where dense_score > 0) select query_id, doc_id, 'E' || n as evidence_id from s2 where n <= 5",
+        "evidence_select": h + ", s2 as (select query_id, doc_id, row_number() over (partition by query_id order by rk) as n from hy where title_score > 0) select query_id, doc_id, 'E' || n as evidence_id from s2 where n <= 5",
         "citations": f"""with c as (select claim_id, min(evidence_ids) as ids from claims group by 1), e as (select claim_id, unnest(range(len(ids))) as pos, unnest(ids) as ref from c),
             nm as (select chunk_id as ref, 0 as o, chunk_id, text from chunks union all select evidence_id, 1, chunk_id, text from chunks where evidence_id is not null), r as (select *, row_number() over (partition by ref order by o, chunk_id, text) as k from nm)
             select claim_id, pos, e.ref, chunk_id, substring({n}, 1, 180) || case when length({n}) > 180 then '...' else '' end as snippet from e join r on e.ref = r.ref and k = 1 where e.ref is not null""",
