@@ -23,8 +23,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +46,8 @@ _WORD, _PAIR = 1 << 62, 1 << 62 | 1 << 61
 _END = np.zeros(0x3010, dtype=bool)
 for _c in "\n.!?。":
     _END[ord(_c)] = True
+_LETTER = np.zeros(0x251, dtype=bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0xC0:0x250] = _LETTER[0x5F] = True
 
 
 @dataclass
@@ -68,23 +70,24 @@ def cut(texts: list[str]) -> Terms:
     doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[: len(codes)]
     end = _END[np.minimum(codes, 0x300F)] | (codes == 0xFF01) | (codes == 0xFF1F)
     # a full stop between letters or digits ends nothing
-    after = np.append(codes[1:], 10)
-    end &= (codes != 0x2E) | (after == 0x20) | (after == 10) | (after >= 0x3000)
-    sentence = np.concatenate(([0], np.cumsum(end)[:-1]))
+    stop = np.flatnonzero(codes[:-1] == 0x2E)
+    after = codes[stop + 1]
+    end[stop] = (after == 0x20) | (after == 10) | (after >= 0x3000)
+    sentence = np.cumsum(end) - end
     han = (codes >= 0x4E00) & (codes <= 0x9FFF)
     two = np.flatnonzero(han[:-1] & han[1:])
     bigram = codes[two] * 65536 + codes[two + 1]
-    lower = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
-    letter = ((lower >= 97) & (lower <= 122)) | ((codes >= 0xC0) & (codes <= 0x24F)) | (codes == 0x5F)  # a name like my_feed is one word
-    first = np.flatnonzero(letter & ~np.concatenate(([False], letter[:-1])))
-    words = pairs = at_pairs = np.zeros(0, dtype=np.int64)
-    if len(first):
-        last = np.flatnonzero(letter & ~np.append(letter[1:], False))
-        number = np.cumsum(_flags(len(codes), first))
-        place = np.maximum(np.arange(len(codes)) - first[np.maximum(number - 1, 0)], 0)
-        weight = _powers(int((last - first).max()) + 1)[np.minimum(place, int((last - first).max()))]
-        value = np.where(letter, (lower.astype(np.uint64) + np.uint64(7)) * weight, np.uint64(0))
-        words = (np.add.reduceat(value, first) >> np.uint64(3)).astype(np.int64) | _WORD
+    at_letter = np.flatnonzero(_LETTER[np.minimum(codes, 0x250)])  # a name like my_feed is one word
+    words = pairs = at_pairs = first = np.zeros(0, dtype=np.int64)
+    if len(at_letter):
+        starts = np.flatnonzero(np.diff(at_letter, prepend=-2) != 1)
+        length = np.diff(np.append(starts, len(at_letter)))
+        first, last = at_letter[starts], at_letter[starts + length - 1]
+        place = np.arange(len(at_letter)) - np.repeat(starts, length)
+        lower = codes[at_letter]
+        lower += ((lower >= 65) & (lower <= 90)) * 32
+        value = (lower.astype(np.uint64) + np.uint64(7)) * _powers(int(length.max()))[place]
+        words = (np.add.reduceat(value, starts) >> np.uint64(3)).astype(np.int64) | _WORD
         next_to = (first[1:] - last[:-1] == 2) & (codes[first[1:] - 1] == 0x20)
         at_pairs = first[:-1][next_to]
         pairs = ((words[:-1][next_to].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words[1:][next_to].astype(np.uint64)) >> np.uint64(3)).astype(np.int64) | _PAIR
@@ -109,12 +112,6 @@ def steps(texts: list[str]):
         yield first, len(texts)
 
 
-def _flags(n: int, at: np.ndarray) -> np.ndarray:
-    out = np.zeros(n, dtype=np.int64)
-    out[at] = 1
-    return out
-
-
 def _powers(n: int) -> np.ndarray:
     """A weight of its own for every place of the longest word (powers of an odd number, modulo 2**64)."""
     return np.multiply.accumulate(np.full(n, 0x100000001B3, dtype=np.uint64))
@@ -230,8 +227,8 @@ def subject_sentences(texts: DataFrame, slots: Slots) -> DataFrame:
 
     def find(batches):
         for b in batches:
-            values = [to_form(t) for t in b["text"]]
-            out: list[np.ndarray] = []
+            values = [to_form(t) for t in b.column("text").to_pylist()]
+            flats, sizes = [], []
             for i, j in steps(values):
                 terms = cut(values[i:j])
                 slot = known.value.find(terms.term)
@@ -241,16 +238,21 @@ def subject_sentences(texts: DataFrame, slots: Slots) -> DataFrame:
                 doc_of = np.zeros(int(terms.sentence.max(initial=0)) + 1, dtype=np.int64)
                 doc_of[terms.sentence] = terms.doc
                 ends = np.flatnonzero(np.append(sentence[1:] != sentence[:-1], True)) + 1 if len(sentence) else np.zeros(0, dtype=np.int64)
-                flat = np.insert(slot, ends, BREAK)
+                flats.append(np.insert(slot, ends, BREAK))
                 doc = np.insert(doc_of[sentence], ends, doc_of[sentence][ends - 1]) if len(ends) else np.zeros(0, dtype=np.int64)
-                out += np.split(flat, np.searchsorted(doc, np.arange(1, j - i)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "sentences": out})
+                sizes.append(np.bincount(doc, minlength=j - i))
+            if values:
+                offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flats), pa.int32()))
+                yield pa.record_batch([b.column("doc_id"), lists], names=["doc_id", "sentences"])
 
-    return texts.select("doc_id", "text").mapInPandas(find, "doc_id bigint, sentences array<int>")
+    return texts.select("doc_id", "text").mapInArrow(find, "doc_id bigint, sentences array<int>")
 
 
 def vectors(sentences: DataFrame, n: int) -> DataFrame:
     """Normalised vectors of the documents with topical terms: term frequency times inverse document frequency."""
+    from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer  # the driver's alone: the tasks never load it
+
     words = sentences.where(F.size("sentences") > 0).select("doc_id", F.filter("sentences", lambda x: x >= 0).cast("array<string>").alias("words"))
     counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(n)], "words", "counts").transform(words)
     weighted = IDF(inputCol="counts", outputCol="weighted").fit(counted).transform(counted)
@@ -262,6 +264,8 @@ def leaves(points: DataFrame, k: int = LEAVES) -> DataFrame:
 
     The vectors are written once; the clustering keeps what it reads of them in memory, or on disk.
     """
+    from pyspark.ml.clustering import BisectingKMeans  # the driver's alone
+
     points = materialize(points, "vectors")
     model = BisectingKMeans(k=k, maxIter=8, seed=11, distanceMeasure="cosine", predictionCol="leaf").fit(points)
     return model.transform(points).select("doc_id", "leaf")
@@ -274,13 +278,18 @@ def rated(labels: DataFrame, names: list[str]) -> DataFrame:
     return known.groupBy("doc_id").agg(F.sort_array(F.collect_set(number)).alias("given"))
 
 
-def _flat(sentences: list[np.ndarray], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column in a row, and the row of each; null lists have none."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(n)), n)
+
+
+def _flat(sentences: pa.Array, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of a batch in a row, where each sentence starts, and the document of each sentence.
 
     With `keep`, slots it does not mark fall away, and sentences left without any.
     """
-    all_ = np.concatenate(sentences).astype(np.int64) if len(sentences) else np.zeros(0, dtype=np.int64)
-    doc = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    all_, doc = _lists(sentences)
     number = np.cumsum(all_ == BREAK)
     use = all_ >= 0
     if keep is not None and len(keep):
@@ -312,9 +321,9 @@ def _sum(df: DataFrame, fn, shape: tuple[int, int]) -> np.ndarray:
         for b in batches:
             total += fn(b)
         i, j = np.nonzero(total)
-        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "x": total[i, j]})
+        yield pa.record_batch([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "x"])
 
-    rows = df.mapInPandas(part, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    rows = df.mapInArrow(part, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
     out = np.zeros(shape)
     out[rows.i, rows.j] = rows.x
     return out
@@ -370,15 +379,19 @@ def train(sentences: DataFrame, slots: Slots, labels: DataFrame, names: list[str
 
     width = LEAVES + k
 
-    def seen_in(b: pd.DataFrame) -> np.ndarray:
-        slot, starts, doc = _flat(b["sentences"].tolist())
+    def seen_in(b: pa.RecordBatch) -> np.ndarray:
+        slot, starts, doc = _flat(b.column("sentences"))
         of = np.repeat(doc, np.diff(np.append(starts, len(slot))))
-        out = np.bincount(slot * width + b["leaf"].to_numpy(dtype=np.int64)[of], minlength=n * width).reshape(n, width).astype(float)
-        for i in np.flatnonzero(b["given"].notna()):
-            given = np.asarray(b["given"].iloc[i])
-            s = np.bincount(slot[of == i], minlength=n)
-            out[:, LEAVES + given] += s[:, None] / len(given)
-        return out
+        leaf = b.column("leaf").to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.bincount(slot * width + leaf[of], minlength=n * width).astype(float)
+        subject, rated_doc = _lists(b.column("given"))
+        share = 1 / np.maximum(np.bincount(rated_doc, minlength=len(leaf)), 1)
+        number = np.full((len(leaf), k), False)
+        number[rated_doc, subject] = True
+        for j in np.unique(subject):
+            mine = number[of, j]
+            out += np.bincount(slot[mine] * width + LEAVES + j, weights=share[of[mine]], minlength=n * width)
+        return out.reshape(n, width)
 
     seen = _sum(rows, seen_in, (n, width))
     by_leaf, by_subject = seen[:, :LEAVES], seen[:, LEAVES:]
@@ -389,9 +402,11 @@ def train(sentences: DataFrame, slots: Slots, labels: DataFrame, names: list[str
     for _ in range(ROUNDS):
         logs, before = mixtures(counts), counts
 
-        def sharpen(b: pd.DataFrame, logs=logs) -> np.ndarray:
-            slot, starts, doc = _flat(b["sentences"].tolist())
-            p = judge(slot, starts, doc, len(b), logs)
+        def sharpen(b: pa.RecordBatch, logs=logs) -> np.ndarray:
+            slot, starts, doc = _flat(b.column("sentences"))
+            if not len(starts):
+                return np.zeros((n, k))
+            p = judge(slot, starts, doc, b.num_rows, logs)
             which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(slot))))
             return np.stack([np.bincount(slot, weights=p[which, j], minlength=n) for j in range(k)], axis=1)
 
@@ -410,22 +425,21 @@ def assign(sentences: DataFrame, model: Model) -> DataFrame:
 
     def decide(batches):
         m = held.value
+        names = pa.array([*m.names, GENERAL])
         for b in batches:
-            slot, starts, doc = _flat(b["sentences"].tolist(), m.specific)
-            n = np.zeros((len(b), max(1, k)), dtype=np.int64)
+            slot, starts, doc = _flat(b.column("sentences"), m.specific)
+            n = np.zeros((b.num_rows, max(1, k)), dtype=np.int64)
             if len(starts):
-                best = judge(slot, starts, doc, len(b), m.logs).argmax(axis=1)
+                best = judge(slot, starts, doc, b.num_rows, m.logs).argmax(axis=1)
                 np.add.at(n, (doc, best), 1)
             total = n.sum(axis=1)
             i, j = np.nonzero(n * round(1 / SHARE) >= np.maximum(total, 1)[:, None])
-            ids = b["doc_id"].to_numpy()
             none = np.flatnonzero(total == 0)
-            yield pd.DataFrame({
-                "doc_id": np.concatenate((ids[i], ids[none])), "subject": [m.names[x] for x in j] + [GENERAL] * len(none),
-                "n_sentences": np.concatenate((n[i, j], total[none])), "n_subject_sentences": np.concatenate((total[i], total[none])),
-            })
+            columns = [b.column("doc_id").take(pa.array(np.concatenate((i, none)))), names.take(pa.array(np.concatenate((j, np.full(len(none), k)))))]
+            columns += [pa.array(np.concatenate((n[i, j], total[none]))), pa.array(np.concatenate((total[i], total[none])))]
+            yield pa.record_batch(columns, names=["doc_id", "subject", "n_sentences", "n_subject_sentences"])
 
-    return sentences.mapInPandas(decide, "doc_id bigint, subject string, n_sentences bigint, n_subject_sentences bigint")
+    return sentences.mapInArrow(decide, "doc_id bigint, subject string, n_sentences bigint, n_subject_sentences bigint")
 
 
 def prepare(documents: DataFrame) -> tuple[DataFrame, Slots]:
