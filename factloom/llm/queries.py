@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import lookalikes, mixing, packing, site_lines, subjects, survivors, tokens
-from factloom.functions.form import sql_form
+from factloom.functions.form import ARMENIAN, BLANKS_WITHOUT_FORM, CYRILLIC, GREEK, HYPHENS, SYMBOLS, WIDE_SIGNS, sql_form
 from factloom.session import materialize, table
 
 
@@ -182,12 +182,27 @@ _LINES = f"""with l as (select chunk_id, doc_id, source_type, regexp_extract(fil
     s as (select source_type, site, count(distinct doc_id) as docs from l group by 1, 2), c as (select source_type, site, k, count(distinct doc_id) as n from l group by 1, 2, 3),
     bad as (select c.source_type, c.site, c.k from c join s on c.source_type = s.source_type and c.site = s.site where n >= 5 and n * 10 >= docs)"""
 
+# What stands out of the form, told by character classes and words instead of by normalising.
+_GONE = rf"[\x{{2E80}}-\x{{2FD5}}\x{{FF10}}-\x{{FF19}}\x{{FF21}}-\x{{FF3A}}\x{{FF41}}-\x{{FF5A}}\x{{FB00}}-\x{{FB06}}\x{{1D400}}-\x{{1D7FF}}\p{{Cf}}\x{{FE00}}-\x{{FE0F}}\x{{E0100}}-\x{{E01EF}}{WIDE_SIGNS}{HYPHENS}{BLANKS_WITHOUT_FORM}]"
+_LETTERS = r"\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{M}"
+_ALIKE = CYRILLIC + GREEK + ARMENIAN
+
+
+def _odd(x: str) -> str:
+    words = f"regexp_extract_all({x}, '[{_LETTERS}]+')"
+    mixed = rf"list_filter({words}, lambda w: regexp_matches(w, '\p{{Latin}}') and regexp_matches(w, '[{_ALIKE}]') and not regexp_matches(translate(w, '{_ALIKE}', ''), '[\p{{Greek}}\p{{Cyrillic}}\p{{Armenian}}]'))"
+    alone = rf"(?:[{CYRILLIC}]+|[{ARMENIAN}]+|[{GREEK}]{{2,}})"
+    beside = rf"regexp_matches({x}, '\p{{Latin}}\p{{M}}*[ \-&./]{alone}(?:[^{_LETTERS}]|$)') or regexp_matches({x}, '(?:^|[^{_LETTERS}]){alone}[ \-&./]\p{{Latin}}')"
+    return rf"(regexp_matches({x}, '{_GONE}') or regexp_matches(translate({x}, ' ', ''), '[\p{{Z}}\x{{0}}-\x{{9}}\x{{B}}-\x{{1F}}\x{{7F}}-\x{{9F}}]') or nfc_normalize({x}) <> {x} or len({mixed}) > 0 or {beside} or regexp_matches({x}, '[a-z][{SYMBOLS}][a-z]'))"
+
+
 _STRIPPED = f"""{_LINES}, r as (select row_number() over () as rid, chunk_id, doc_id, loaded_at, deleted_at, source_type, regexp_extract(file_name, '^[^_]*_[^_]*_[^_]*_([^：]*)：', 1) as site, text from chunks),
       e as (select rid, source_type, site, unnest(range(len(string_split(text, chr(10))))) as n, unnest(string_split(text, chr(10))) as t, regexp_replace(unnest(string_split({sql_form('text')}, chr(10))), '[\\s0-9]+', '', 'g') as k from r),
       done as (select rid, coalesce(string_agg(t, chr(10) order by n) filter (where bad.k is null), '') as t, count(bad.k) as gone from e left join bad on e.source_type is not distinct from bad.source_type and e.site = bad.site and e.k = bad.k group by rid)
       select chunk_id, doc_id, loaded_at, deleted_at, done.t as text, cast(coalesce(gone, 0) as int) as lines_removed from r left join done on r.rid = done.rid"""
 
 ORACLE_SQL = {
+    "p2_found": " union all ".join(f"select distinct '{t}' as src_table, {k} as src_key, '{t}.{f}' as field_name from {t} where {f} is not null and {_odd(f)}" for t, k, f in (("chunks", "chunk_id", "text"), ("facts", "fact_id", "raw_value"), ("facts", "fact_id", "company"))),
     "p3_found": f"{_LINES} select distinct chunk_id, cast(line_no as int) as line_no from l join bad on l.source_type = bad.source_type and l.site = bad.site and l.k = bad.k",
     "p3_stripped": _STRIPPED,
     "p3_batches": _STRIPPED,
