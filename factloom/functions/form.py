@@ -30,6 +30,9 @@ BLANKS_WITHOUT_FORM = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3
 CYRILLIC, CYRILLIC_AS = "АВЕЅІЈКМНОРСТУХԌԚԜҮаԁсеһіјӏорԛѕуѵхԝ", "ABESIJKMHOPCTYXGQWYadcehijlopqsyvxw"
 GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲ", "ABEZHIKMNOPTYXCjoc"
 ARMENIAN, ARMENIAN_AS = "ՕՍհոսօ", "OUhnuo"
+LISU, LISU_AS = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"
+CHEROKEE, CHEROKEE_AS = "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏏᏙᏚᏞᏟᏢᏦ", "DRTiAJEWMHGZbVSLCPK"
+COPTIC, COPTIC_AS = "ⲂⲎⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲬ", "BHKMNOoPpCcTX"
 # Greek small letters that serve as symbols; look-alikes only inside a Latin word.
 SYMBOLS, SYMBOLS_AS = "αγικνρυ", "ayikvpu"
 
@@ -61,46 +64,85 @@ def _table() -> dict[int, str | None]:
 
 # The same ranges for single values: what stands outside them may need work.
 _ODD = re.compile("[^" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{m[1]:>04}", CLEAN[2 : CLEAN.index("]")]) + "]")
-_LOOKS = {a: b for f, g in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS)) for a, b in zip(f, g, strict=True)}
+#: Script -> {its letter: the Latin letter that looks the same}.
+_DOUBLES = {
+    "Greek": dict(zip(GREEK, GREEK_AS, strict=True)), "Cyrillic": dict(zip(CYRILLIC, CYRILLIC_AS, strict=True)), "Armenian": dict(zip(ARMENIAN, ARMENIAN_AS, strict=True)),
+    "Lisu": dict(zip(LISU, LISU_AS, strict=True)), "Cherokee": dict(zip(CHEROKEE, CHEROKEE_AS, strict=True)), "Coptic": dict(zip(COPTIC, COPTIC_AS, strict=True)),
+}
+_LOOKS = {a: b for doubles in _DOUBLES.values() for a, b in doubles.items()}
+_BACK = {script: {b: a for a, b in doubles.items()} for script, doubles in _DOUBLES.items()}
 _INSIDE = dict(zip(SYMBOLS, SYMBOLS_AS, strict=True))
-_TOKEN = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{M}]+")
-_FOREIGN = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}]")
-_LATIN_BEFORE, _LATIN_AFTER = regex.compile(r"\p{Latin}\p{M}*[ \-&./]?\Z"), regex.compile(r"[ \-&./]?\p{Latin}")
-_SCRIPTS = (("Latin", regex.compile(r"\p{Latin}")), ("Greek", regex.compile(r"\p{Greek}")), ("Cyrillic", regex.compile(r"\p{Cyrillic}")), ("Armenian", regex.compile(r"\p{Armenian}")))
+_NAMES = ("Latin", *_DOUBLES)
+_TOKEN = regex.compile("[" + "".join(rf"\p{{{n}}}" for n in _NAMES) + r"\p{M}]+")
+_FOREIGN = regex.compile("[" + "".join(rf"\p{{{n}}}" for n in _DOUBLES) + "]")
+_LATIN, _LATIN_AFTER = regex.compile(r"\p{Latin}"), regex.compile(r"[ \-&./]?\p{Latin}")
+_SCRIPTS = tuple((n, regex.compile(rf"\p{{{n}}}")) for n in _NAMES)
 
 
+@lru_cache(4096)
+def own_scripts(letter: str) -> frozenset[str]:
+    """The script of a letter; marks fit every script."""
+    return frozenset({n for n, p in _SCRIPTS if p.match(letter)} or _NAMES)
+
+
+@lru_cache(4096)
 def scripts_of(letter: str) -> frozenset[str]:
-    """The resolved scripts of a letter: its own and those in which it has a double; marks fit every script."""
-    own = {name for name, p in _SCRIPTS if p.match(letter)}
-    if not own:
-        return frozenset(n for n, _ in _SCRIPTS)
-    return frozenset(own | ({"Latin"} if letter in _LOOKS else set()))
+    """The resolved scripts of a letter: its own and those in which it has a double."""
+    latin = _LOOKS.get(letter, letter)
+    return own_scripts(letter) | ({"Latin"} if letter in _LOOKS else set()) | {n for n, back in _BACK.items() if latin in back}
+
+
+def spelt_in(letter: str, script: str) -> str:
+    """A letter, or its double in the script."""
+    if script in own_scripts(letter):
+        return letter
+    latin = _LOOKS.get(letter, letter)
+    return latin if script == "Latin" else _BACK[script].get(latin, letter)
 
 
-def resolve_token(token: str, before: str = "", after: str = "") -> str:
-    """Spell a token in Latin if its letters fit no other one script, else leave it.
+def resolve_token(token: str, beside_latin: bool = False) -> str:
+    """Spell a token in one script that fits all its letters, or leave it.
 
-    The token's own scripts are intersected letter by letter.  Empty: the token mixes scripts and becomes
-    Latin if all its foreign letters have Latin doubles.  One foreign script whose letters all have Latin
-    doubles (whole-script confusable): Latin only directly beside a Latin word; a lone Greek letter is a symbol.
+    The resolved script sets are intersected letter by letter.  A token that mixes scripts takes a script of that
+    intersection: Latin if it is there, else the one most of its letters are of (not Greek, whose letters are symbols
+    beside Latin ones: ΔT, MΩ); otherwise it stays.
+    A token of one foreign script whose letters all have Latin doubles (whole-script confusable) becomes Latin only
+    directly beside a Latin word; a lone Greek letter is a symbol, and Greek symbols are look-alikes only inside a word.
     """
     if not _FOREIGN.search(token):
         return token
     letters = list(unicodedata.normalize("NFD", token))
-    own = [{n for n, p in _SCRIPTS if p.match(c)} or {n for n, _ in _SCRIPTS} for c in letters]
-    spelt = []
-    for i, c in enumerate(letters):
-        inside = c in _INSIDE and 0 < i < len(letters) - 1 and all(x.islower() and "Latin" in scripts_of(x) for x in (letters[i - 1], letters[i + 1]))
-        spelt.append(_LOOKS.get(c) or (_INSIDE[c] if inside else c))
-    latin = not any(_FOREIGN.match(c) for c in spelt)
-    if not latin:
+    lower = lambda c: c.islower() and "Latin" in scripts_of(c)
+    letters = [_INSIDE[c] if c in _INSIDE and 0 < i < len(letters) - 1 and lower(letters[i - 1]) and lower(letters[i + 1]) else c for i, c in enumerate(letters)]
+    fits = frozenset.intersection(*map(scripts_of, letters))
+    whole = frozenset.intersection(*map(own_scripts, letters))
+    if not fits:
         return token
-    whole = frozenset.intersection(*map(frozenset, own))
-    if whole:
+    if "Latin" in whole:
+        script = "Latin"
+    elif whole:
         base = [c for c in letters if not unicodedata.combining(c)]
-        if "Greek" in whole and len(base) == 1 or not (_LATIN_BEFORE.search(before) or _LATIN_AFTER.match(after)):
+        if "Latin" not in fits or not beside_latin or ("Greek" in whole and len(base) == 1):
             return token
-    return unicodedata.normalize("NFC", "".join(spelt))
+        script = "Latin"
+    elif "Latin" in fits:
+        script = "Latin"
+    else:
+        of = lambda n: sum(own_scripts(c) == {n} for c in letters)
+        script = max(sorted(fits), key=of)
+        if script == "Greek" or of(script) <= of("Latin"):
+            return token
+    return unicodedata.normalize("NFC", "".join(spelt_in(c, script) for c in letters))
+
+
+def _beside_latin(text: str, start: int, end: int) -> bool:
+    """Whether a Latin letter, with its marks, stands before or after, at most one blank or sign away."""
+    i = start - 1
+    if i >= 0 and text[i] in " -&./":
+        i -= 1
+    while i >= 0 and unicodedata.combining(text[i]):
+        i -= 1
+    return (i >= 0 and _LATIN.match(text[i]) is not None) or _LATIN_AFTER.match(text, end) is not None
 
 
 def to_form(text: str | None) -> str | None:
@@ -110,7 +152,7 @@ def to_form(text: str | None) -> str | None:
     text = unicodedata.normalize("NFC", text.translate(_table()))
     if not _FOREIGN.search(text):
         return text
-    return _TOKEN.sub(lambda m: resolve_token(m.group(), text[max(0, m.start() - 12) : m.start()], text[m.end() : m.end() + 2]), text)
+    return _TOKEN.sub(lambda m: resolve_token(m.group(), _beside_latin(text, m.start(), m.end())), text)
 
 
 @F.pandas_udf(T.StringType())

@@ -11,6 +11,7 @@ CASES = [
     ("Ｃοpyright", "Copyright"), ("СNY ＣΝＹ RΜB", "CNY CNY RMB"), ("μm μｍ Δ Ω β", "μm μm Δ Ω β"), ("“Луна”，“Заря”。", "“Луна”，“Заря”。"), ("⼭垚精⼯⻛", "山垚精工风"),
     ("café", "café"), ("２．５％ －３ −4 a‑b", "2.5% -3 -4 a-b"), ("a​b c­d︀", "ab cd"), ("TNFα", "TNFα"), ("Сахар", "Сахар"), ("Gaoqiao Со", "Gaoqiao Co"),
     ("a\nb", "a\nb"), ("，。；：！？、（）“”……℃㎡‰①", "，。；：！？、（）“”……℃㎡‰①"), ("", ""), ("　x y", " x y"), ("體 億", "體 億"), ("ё е́x", "ё éx"), ("豈", "豈"),
+    ("Мoсква", "Москва"), ("ꓐANK Ꭺpple ⲟil", "BANK Apple oil"), ("ΔT MΩ Hα 5kΩ", "ΔT MΩ Hα 5kΩ"), ("нadh", "нadh"), ("x" + "\u0316" * 30 + " Со", "x" + "\u0316" * 30 + " Co"),
 ]
 
 
@@ -43,6 +44,7 @@ def test_column_equals_scalar(spark):
 
 
 def test_scripts():
-    assert scripts_of("о") == {"Cyrillic", "Latin"}
+    assert scripts_of("о") == {"Cyrillic", "Latin", "Greek", "Armenian", "Coptic"}
+    assert scripts_of("o") == scripts_of("о")  # whatever script it is written in
     assert scripts_of("Л") == {"Cyrillic"}
     assert "Greek" in scripts_of("́")
