@@ -7,7 +7,10 @@ the moments of their key, arriving parents resolve waiting orphans, deletions re
 that come late re-judge what is known of their key.  Any cut of the history into batches, in any order, with any
 redelivery of references, ends in the same state.
 
-Work is keyed by (target, key) and split by hour; equal moments of a key are one row before anything is sorted, so a
+Keys travel as two 64-bit hashes, of target and key, and references as two of their own: no text goes through a shuffle.
+Names stay in their tables, and `named` looks up those of the references asked for.
+
+Work is keyed by key and split by hour; equal moments of a key are one row before anything is sorted, so a
 key that holds a third of all rows is spread over its hours, and a bulk load at one moment is one row.  Nothing is
 collected and no key's rows are paired with each other.
 
@@ -28,10 +31,10 @@ from factloom.functions.form import blank, match_key
 from factloom.session import materialize
 
 REF = ["src_table", "src_key", "ref_field", "ref_key"]
-KEY = ["target", "k1", "k2"]
-REF_COLS = [*REF, *KEY, "born"]
-REF_SCHEMA = "src_table string, src_key string, ref_field string, ref_key string, target string, k1 bigint, k2 bigint, born timestamp"
-MOMENT_SCHEMA = "target string, k1 bigint, k2 bigint, ts timestamp, delta bigint"
+ID, KEY = ["r1", "r2"], ["k1", "k2"]
+REF_COLS = [*ID, "ref_field", *KEY, "born"]
+REF_SCHEMA = "r1 bigint, r2 bigint, ref_field string, k1 bigint, k2 bigint, born timestamp, dead_at_birth boolean, open boolean"
+MOMENT_SCHEMA = "k1 bigint, k2 bigint, ts timestamp, delta bigint"
 
 
 @dataclass
@@ -42,26 +45,36 @@ class OrphanState:
 
     @staticmethod
     def empty(spark: SparkSession) -> OrphanState:
-        return OrphanState(spark.createDataFrame([], MOMENT_SCHEMA), spark.createDataFrame([], REF_SCHEMA + ", dead_at_birth boolean, open boolean"), True)
+        return OrphanState(spark.createDataFrame([], MOMENT_SCHEMA), spark.createDataFrame([], REF_SCHEMA), True)
 
     def save(self, name: str) -> OrphanState:
         """Write both tables to the shared folder, so that the next batch starts from files."""
         return OrphanState(materialize(self.moments, name + "-moments"), materialize(self.refs, name + "-refs"))
 
 
-def _keyed(df: DataFrame, key) -> DataFrame:
-    """Two independent 64-bit hashes stand for the normalised key: 16 bytes through every shuffle."""
-    k = match_key(key)
-    return df.withColumn("_k", k).withColumns({"k1": F.xxhash64("_k"), "k2": F.xxhash64(F.lit(17), "_k")}).drop("_k")
+def _hashed(*parts) -> list:
+    """Two independent 64-bit hashes of some columns."""
+    return [F.xxhash64(*parts), F.xxhash64(F.lit(17), *parts)]
 
 
 def references(df: DataFrame, src_table: str, key: str, field: str, target: str) -> DataFrame:
-    """The references of `df.field` (a string or an array of strings) with their keys; `advance` makes them distinct."""
+    """The references of `df.field` (a string or an array of strings) with their ids and keys; `advance` makes them distinct."""
     value = F.explode(field) if dict(df.dtypes)[field].startswith("array") else F.col(field)
     refs = df.select(F.col(key).alias("src_key"), value.alias("ref_key"), F.col("loaded_at").alias("born"))
     refs = refs.where(~blank(F.col("ref_key")) & F.col("born").isNotNull())
-    refs = refs.withColumns({"src_table": F.lit(src_table), "ref_field": F.lit(f"{src_table}.{field}"), "target": F.lit(target)})
-    return _keyed(refs, F.col("ref_key")).select(*REF_COLS)
+    refs = refs.withColumns({"src_table": F.lit(src_table), "ref_field": F.lit(f"{src_table}.{field}"), "_k": match_key(F.col("ref_key"))})
+    r1, r2 = _hashed(*REF)
+    k1, k2 = _hashed(F.lit(target), "_k")
+    return refs.select(*REF, r1.alias("r1"), r2.alias("r2"), k1.alias("k1"), k2.alias("k2"), "born")
+
+
+def named(refs: DataFrame, sources: DataFrame) -> DataFrame:
+    """`refs` (references of a state) with the names that `sources` (rows of `references`) give them.
+
+    The references are written first, so that Spark knows their size when it chooses the join.
+    """
+    names = sources.select(*ID, *REF).join(materialize(refs.drop("ref_field"), "named"), ID)
+    return names.dropDuplicates(REF).drop(*ID, *KEY)
 
 
 def parent_events(df: DataFrame, keys: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -72,10 +85,12 @@ def parent_events(df: DataFrame, keys: dict[str, tuple[str, ...]]) -> DataFrame:
     out = None
     for key, targets in keys.items():
         rows = df.select(F.col(key).alias("key"), "loaded_at", "deleted_at").where(~blank(F.col("key")) & F.col("loaded_at").isNotNull())
-        rows = rows.where(F.col("deleted_at").isNull() | (F.col("deleted_at") > F.col("loaded_at")))
-        moves = [F.struct(F.lit(t).alias("target"), F.col(at).alias("ts"), F.lit(n).cast("bigint").alias("delta")) for t in targets for at, n in (("loaded_at", 1), ("deleted_at", -1))]
-        one = _keyed(rows, F.col("key")).select("k1", "k2", F.explode(F.array(*moves)).alias("e"))
-        one = one.select("e.target", "k1", "k2", "e.ts", "e.delta").where(F.col("ts").isNotNull())
+        rows = rows.where(F.col("deleted_at").isNull() | (F.col("deleted_at") > F.col("loaded_at"))).withColumn("_k", match_key(F.col("key")))
+        moves = []
+        for t in targets:
+            k1, k2 = _hashed(F.lit(t), "_k")
+            moves += [F.struct(k1.alias("k1"), k2.alias("k2"), F.col(at).alias("ts"), F.lit(n).cast("bigint").alias("delta")) for at, n in (("loaded_at", 1), ("deleted_at", -1))]
+        one = rows.select(F.explode(F.array(*moves)).alias("e")).select("e.*").where(F.col("ts").isNotNull())
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -103,20 +118,20 @@ def judge(refs: DataFrame, moments: DataFrame) -> DataFrame:
 def advance(state: OrphanState, refs: DataFrame, events: DataFrame) -> tuple[OrphanState, DataFrame]:
     """Fold one batch in; returns the new state and the transitions (resolved, reopened, rejudged) of known references."""
     if state.first:
-        new, moments = refs, events
+        new, moments = refs.select(*REF_COLS), events
     else:
         touched = materialize(refs.select(*KEY).unionByName(events.select(*KEY)).distinct(), "touched")
-        new = refs.unionByName(state.refs.join(touched, KEY, "left_semi").select(*REF_COLS))
+        new = refs.select(*REF_COLS).unionByName(state.refs.join(touched, KEY, "left_semi").select(*REF_COLS))
         moments = events.unionByName(state.moments.join(touched, KEY, "left_semi"))
-    new = new.groupBy(*REF).agg(F.min("born").alias("born"), *[F.first(k).alias(k) for k in KEY]).select(*REF_COLS)
+    new = new.groupBy(*ID).agg(F.min("born").alias("born"), *[F.first(k).alias(k) for k in ("ref_field", *KEY)]).select(*REF_COLS)
     judged = judge(new, moments).withColumnRenamed("dead", "dead_at_birth").select(*REF_COLS, "dead_at_birth", "open")
     if state.first:
         none = judged.where(F.lit(False)).select(*REF_COLS, F.lit(None).cast("string").alias("transition"))
         return OrphanState(events.groupBy(*KEY, "ts").agg(F.sum("delta").alias("delta")), judged), none
     judged = materialize(judged, "judged")
-    known = state.refs.join(touched, KEY, "left_semi").select(*REF, F.col("open").alias("was_open"), F.col("dead_at_birth").alias("was_dead"))
+    known = state.refs.join(touched, KEY, "left_semi").select(*ID, F.col("open").alias("was_open"), F.col("dead_at_birth").alias("was_dead"))
     how = F.when(F.col("was_open") & ~F.col("open"), "resolved").when(~F.col("was_open") & F.col("open"), "reopened").when(F.col("was_dead") != F.col("dead_at_birth"), "rejudged")
-    moved = judged.join(known, REF).withColumn("transition", how).where("transition is not null").select(*REF_COLS, "transition")
+    moved = judged.join(known, ID).withColumn("transition", how).where("transition is not null").select(*REF_COLS, "transition")
     kept = state.moments.unionByName(events).groupBy(*KEY, "ts").agg(F.sum("delta").alias("delta"))
     return OrphanState(kept, state.refs.join(touched, KEY, "left_anti").unionByName(judged)), moved
 
@@ -124,7 +139,7 @@ def advance(state: OrphanState, refs: DataFrame, events: DataFrame) -> tuple[Orp
 def snapshot(state: OrphanState) -> DataFrame:
     """Counts per table, field and month of loading: references, dead when they came, open now."""
     month = F.date_format("born", "yyyy-MM").alias("month")
-    return state.refs.groupBy("src_table", "ref_field", month).agg(
+    return state.refs.groupBy(F.substring_index("ref_field", ".", 1).alias("src_table"), "ref_field", month).agg(
         F.count("*").alias("n_refs"),
         F.sum(F.col("dead_at_birth").cast("bigint")).alias("n_dead"),
         F.sum(F.col("open").cast("bigint")).alias("n_open"),

@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every reference that was dead when its record came: one advance of the state over the whole history."""
     refs, events = _references(spark, d)
     state, _ = orphans.advance(orphans.OrphanState.empty(spark), refs, events)
-    return state.refs.where("dead_at_birth").select("src_table", "src_key", "ref_field", "ref_key")
+    return orphans.named(state.refs.where("dead_at_birth"), refs).select("src_table", "src_key", "ref_field", "ref_key")
 
 
 def p1_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -49,9 +49,9 @@ def p1_batches(spark: SparkSession, d: str) -> DataFrame:
     """p1_orphan_counts by batches: the state goes through files between them, rows come late, references come again."""
     refs, events = _references(spark, d)
     bounds = table(spark, d, "facts").agg(F.percentile_approx("loaded_at", [i / BATCHES for i in range(1, BATCHES)]).alias("b")).first()["b"] or []  # two moments
-    refs = materialize(_batched(refs, "born", bounds, ["src_key", "ref_key"]), "batched-refs")
+    refs = materialize(_batched(refs.select(*orphans.REF_COLS), "born", bounds, orphans.ID), "batched-refs")
     events = materialize(_batched(events, "ts", bounds, ["k1", "k2", "ts"]), "batched-events")
-    again = refs.where(F.pmod(F.xxhash64("src_key", "born"), F.lit(AGAIN)) == 0).withColumn("batch", F.lit(BATCHES - 1))
+    again = refs.where(F.pmod(F.xxhash64("r1", "born"), F.lit(AGAIN)) == 0).withColumn("batch", F.lit(BATCHES - 1))
     state = orphans.OrphanState.empty(spark)
     for i in range(BATCHES):
         state, _ = orphans.advance(state, refs.unionByName(again).where(F.col("batch") == i).drop("batch"), events.where(F.col("batch") == i).drop("batch"))
