@@ -22,16 +22,23 @@ def records(claims: DataFrame) -> DataFrame:
 
 
 def targets(chunks: DataFrame) -> DataFrame:
-    """What a reference may name: every chunk id, and every second name that is not a chunk id; one row each."""
-    a = chunks.select(F.col("chunk_id").alias("ref"), F.lit(0).alias("o"), "chunk_id", "doc_id", "text")
-    b = chunks.where("evidence_id is not null").select(F.col("evidence_id").alias("ref"), F.lit(1).alias("o"), "chunk_id", "doc_id", "text")
-    return a.unionByName(b).groupBy("ref").agg(F.min(F.struct("o", "chunk_id", "doc_id", "text")).alias("r")).select("ref", "r.chunk_id", "r.doc_id", "r.text")
+    """What a reference may name: every chunk id, and every second name that is not a chunk id; one row each, ids only."""
+    a = chunks.select(F.col("chunk_id").alias("ref"), F.lit(0).alias("o"), "chunk_id", "doc_id")
+    b = chunks.where("evidence_id is not null").select(F.col("evidence_id").alias("ref"), F.lit(1).alias("o"), "chunk_id", "doc_id")
+    return a.unionByName(b).groupBy("ref").agg(F.min(F.struct("o", "chunk_id", "doc_id")).alias("r")).select("ref", "r.chunk_id", "r.doc_id")
+
+
+def cited(refs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """`refs` (with `ref`) beside the chunk each names, and its text: ids are resolved first, then texts of cited chunks fetched."""
+    found = refs.join(targets(chunks), "ref")
+    one = chunks.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id", "doc_id").agg(F.min("text").alias("text"))
+    return found.join(one, ["chunk_id", "doc_id"])
 
 
 def evidence(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row per claim and distinct chunk it cites."""
     refs = claims.select("claim_id", F.explode("evidence_ids").alias("ref")).where("ref is not null")
-    return refs.join(targets(chunks), "ref").select("claim_id", "chunk_id", "doc_id", F.col("text").alias("evidence_text")).dropDuplicates(["claim_id", "chunk_id"])
+    return cited(refs, chunks).select("claim_id", "chunk_id", "doc_id", F.col("text").alias("evidence_text")).dropDuplicates(["claim_id", "chunk_id"])
 
 
 def sentences(c: Column) -> Column:

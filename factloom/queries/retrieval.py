@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
+from factloom.operators import claims as cl
+from factloom.operators import measures as ms
 from factloom.operators import search
 from factloom.session import materialize, table
 
@@ -140,12 +142,10 @@ def evidence_select(spark: SparkSession, d: str) -> DataFrame:
 def citations(spark: SparkSession, d: str) -> DataFrame:
     """Claims' evidence in order, with a snippet of the chunk it names (chunk id first, second name next)."""
     claims = table(spark, d, "claims").groupBy("claim_id").agg(F.min("evidence_ids").alias("ids")).select("claim_id", F.posexplode("ids").alias("pos", "ref")).where("ref is not null")
-    chunks = table(spark, d, "chunks")
-    names = chunks.select(F.col("chunk_id").alias("ref"), F.lit(0).alias("o"), "chunk_id", "text").unionByName(chunks.where("evidence_id is not null").select(F.col("evidence_id").alias("ref"), F.lit(1).alias("o"), "chunk_id", "text"))
-    names = names.groupBy("ref").agg(F.min(F.struct("o", "chunk_id", "text")).alias("r")).select("ref", "r.chunk_id", "r.text")
+    cited = cl.cited(claims, table(spark, d, "chunks"))
     n = tx.normalize(F.col("text"))
     snippet = F.concat(F.substring(n, 1, 180), F.when(F.length(n) > 180, "...").otherwise(""))
-    return claims.join(names, "ref").select("claim_id", "pos", "ref", "chunk_id", snippet.alias("snippet"))
+    return cited.select("claim_id", "pos", "ref", "chunk_id", snippet.alias("snippet"))
 
 
 def page_overlap_join(spark: SparkSession, d: str) -> DataFrame:
@@ -174,11 +174,10 @@ def page_overlap_all(spark: SparkSession, d: str) -> DataFrame:
 def seed_evenly_spaced(spark: SparkSession, d: str) -> DataFrame:
     """Five evenly spaced documents of each source by id (rank positions, ends included)."""
     t = table(spark, d, "documents").where("source is not null").select("doc_id", F.lower(F.trim("source")).alias("source"))
-    w = Window.partitionBy("source").orderBy("doc_id")
     n = t.groupBy("source").agg(F.count("*").alias("n"))
     want = n.withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(5)).cast("int") - 1)))
     pos = F.when(F.col("n") <= 5, F.col("ordinal")).otherwise(F.floor(F.col("ordinal") * (F.col("n") - 1) / 4 + 0.5))
-    return t.withColumn("i", F.row_number().over(w) - 1).join(want.withColumn("i", pos.cast("int")), ["source", "i"]).select("source", "ordinal", "doc_id")
+    return ms.ranked_at(t, "source", "doc_id", want.select("source", "ordinal", pos.cast("bigint").alias("i"))).select("source", "ordinal", "doc_id")
 
 
 def stratified_subset(spark: SparkSession, d: str) -> DataFrame:

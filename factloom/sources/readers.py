@@ -7,6 +7,7 @@ table, never dropped silently.
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,12 +56,13 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, folder: str, key: str) -> str:
-    """Write to a fresh subfolder, read it back, and only then point `CURRENT` at it.
+    """Write to a fresh subfolder, read it back, and only then add a pointer to it.
 
-    The count and the fingerprint of what was read must equal what was meant; readers never see a partial snapshot.
+    The count and the fingerprint of what was read must equal what was meant.  Pointers are only ever added, so a reader
+    always finds the newest whole snapshot.
     """
     spark = df.sparkSession
-    name = f"v-{uuid.uuid4().hex}"
+    name = f"v-{time.time_ns():020d}-{uuid.uuid4().hex}"
     path = os.path.join(folder, name)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -68,10 +70,11 @@ def write_snapshot(df: DataFrame, folder: str, key: str) -> str:
         raise ValueError(f"{key} is not unique")
     if fingerprint(back, df.columns).first() != fingerprint(df, df.columns).first():
         raise ValueError("the snapshot differs from its source")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(os.path.join(folder, "CURRENT"))
+    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("append").text(os.path.join(folder, "POINTERS"))
     return path
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    name = spark.read.text(os.path.join(folder, "CURRENT")).first()["value"]
+    """The newest snapshot: names carry their time."""
+    name = spark.read.text(os.path.join(folder, "POINTERS")).agg(F.max("value")).first()[0]
     return spark.read.parquet(os.path.join(folder, name))
