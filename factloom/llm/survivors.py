@@ -23,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,26 +122,25 @@ def one_hot(by: np.ndarray) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
 
 
-def _matrices(votes: DataFrame) -> tuple[np.ndarray, ...]:
-    """Shared true votes, shared false votes and joint votes of every two sources, from one-hot products per batch."""
+def _products(rows: DataFrame, masks: list[str]) -> np.ndarray:
+    """For each column of source sets, how often every two sources stand together, from one-hot products per batch."""
     n = SOURCES
 
     def partial(batches):
-        total = np.zeros((3, n, n), dtype=np.float64)
+        total = np.zeros((len(masks), n, n), dtype=np.float64)
         for b in batches:
-            right = b["right"].to_numpy(dtype=bool)
-            hot = one_hot(b["by"].to_numpy())
-            said = one_hot(b["said"].to_numpy()[right])  # once per group and field
-            for k, h in enumerate((hot[right], hot[~right], said)):
-                total[k] += h.T @ h
+            for k, m in enumerate(masks):
+                by = b[m].to_numpy()
+                hot = one_hot(by[by != 0])
+                total[k] += hot.T @ hot
         k, i, j = np.nonzero(total)
         yield pd.DataFrame({"k": k, "i": i, "j": j, "x": total[k, i, j]})
 
-    sums = votes.mapInPandas(partial, "k int, i int, j int, x double").groupBy("k", "i", "j").agg(F.sum("x").alias("x"))
-    out = np.zeros((3, n, n))
-    rows = sums.toPandas()  # at most 3 * SOURCES**2 numbers, whatever the data
+    sums = rows.select(*masks).mapInPandas(partial, "k int, i int, j int, x double").groupBy("k", "i", "j").agg(F.sum("x").alias("x"))
+    out = np.zeros((len(masks), n, n))
+    rows = sums.toPandas()  # at most SOURCES**2 numbers a column, whatever the data
     out[rows.k, rows.i, rows.j] = rows.x
-    return tuple(out)
+    return out
 
 
 def _dependence(accuracy: np.ndarray, true: np.ndarray, false: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -179,18 +178,19 @@ def votes_of(rows: DataFrame) -> DataFrame:
     """Per group and value of date and quantity: who states it, and its prior."""
     of = lambda field, value, prior, shown: F.struct(F.lit(field).alias("field"), value.cast("bigint").alias("value"), prior.cast("double").alias("prior"), shown.alias("shown"))
     day = of(DAY, F.col("day"), F.col("day") * (LEVEL / 365.0), F.lit(None).cast("string"))
-    each = rows.select(*GROUP, "by", "said", F.explode(F.array(day, of(QUANTITY, F.col("v"), F.lit(0.0), F.col("stated")))).alias("e")).select(*GROUP, "by", "said", "e.*")
-    return each.groupBy(*GROUP, "field", "value").agg(F.bit_or("by").alias("by"), F.first("said").alias("said"), F.max("prior").alias("prior"), F.min("shown").alias("shown"), F.count("*").alias("n"))
+    each = rows.select(*GROUP, "by", F.explode(F.array(day, of(QUANTITY, F.col("v"), F.lit(0.0), F.col("stated")))).alias("e")).select(*GROUP, "by", "e.*")
+    return each.groupBy(*GROUP, "field", "value").agg(F.bit_or("by").alias("by"), F.max("prior").alias("prior"), F.min("shown").alias("shown"), F.count("*").alias("n"))
 
 
-def estimate(votes: DataFrame) -> Model:
+def estimate(votes: DataFrame, grouped: DataFrame) -> Model:
     """Accuracy and dependence of the sources, alternated with the truth they imply until they are stable."""
     model = Model(np.full(SOURCES, 0.8), np.zeros((SOURCES, SOURCES)))
+    both = 2 * _products(grouped, ["said"])[0]  # every record states both a date and a quantity
+    best = F.max(F.struct("post", "n", "value")).over(Window.partitionBy(*GROUP, "field"))["value"]
+    zero = F.lit(0).cast("bigint")
     for _ in range(ROUNDS):
-        scored = votes.withColumn("post", F.col("prior") + _mass(model)("by"))
-        best = scored.groupBy(*GROUP, "field").agg(F.max(F.struct("post", "n", "value"))["value"].alias("truth"))
-        marked = scored.join(best, [*GROUP, "field"]).select("by", "said", (F.col("value") == F.col("truth")).alias("right"))
-        true, false, both = _matrices(marked)
+        scored = votes.select(*GROUP, "field", "value", "by", "n", (F.col("prior") + _mass(model)("by")).alias("post")).withColumn("right", F.col("value") == best)
+        true, false = _products(scored.select(F.when(F.col("right"), F.col("by")).otherwise(zero).alias("true"), F.when(F.col("right"), zero).otherwise(F.col("by")).alias("false")), ["true", "false"])
         right, wrong = np.diag(true), np.diag(false)
         accuracy = np.clip((right + 8) / (right + wrong + 10), 0.05, 0.99)
         moved = np.abs(accuracy - model.accuracy).max()
@@ -242,8 +242,8 @@ def survivors(facts: DataFrame, companies: DataFrame, trust: DataFrame, metrics:
     """The surviving record of every group of at least two records, and the fused values of its fields."""
     listed = _listed(trust)
     rows = materialize(records(facts, companies, listed), "records")
+    several = rows.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1").select(*GROUP)
+    rows = materialize(with_quantity(rows.join(several, GROUP, "left_semi"), metrics), "repeated")
     grouped = materialize(groups(rows, listed), "groups")
-    rows = rows.join(grouped.select(*GROUP, "said"), GROUP)
-    rows = materialize(with_quantity(rows, metrics), "repeated")
     votes = materialize(votes_of(rows), "votes")
-    return choose(rows, grouped, votes, estimate(votes), listed)
+    return choose(rows, grouped, votes, estimate(votes, grouped), listed)

@@ -107,7 +107,7 @@ def fused(spark, model):
     listed = sv._listed(t)
     rows = sv.records(f, c, listed)
     grouped = sv.groups(rows, listed)
-    rows = sv.with_quantity(rows.join(grouped.select(*sv.GROUP, "said"), sv.GROUP), m)
+    rows = sv.with_quantity(rows, m)
     return sv.choose(rows, grouped, sv.votes_of(rows), model, listed).first()
 
 
