@@ -7,12 +7,10 @@ the moments of their key, arriving parents resolve waiting orphans, deletions re
 that come late re-judge what is known of their key.  Any cut of the history into batches, in any order, with any
 redelivery of references, ends in the same state.
 
-Keys travel as two 64-bit hashes, of target and key, and references as two of their own: no text goes through a shuffle.
-Names stay in their tables, and `named` looks up those of the references asked for.
-
-Work is keyed by key and split by hour; equal moments of a key are one row before anything is sorted, so a
-key that holds a third of all rows is spread over its hours, and a bulk load at one moment is one row.  Nothing is
-collected and no key's rows are paired with each other.
+Keys travel as two 64-bit hashes, of target and key.  A key's references and events meet in one shuffle, where repeated
+references fall together and the key is swept in the order of time.  Keys with more than HOT rows are split: equal
+moments become one row first, the net change per hour gives what is alive as each hour begins, every key-hour is swept
+on its own, and references read the verdict of their moment.  Nothing is collected and no rows of a key are paired.
 
 Nulls: references without a letter or digit refer to nothing and are dropped; parents without key or `loaded_at`
 are dropped; a reference without time (`born`) is dropped, since it cannot be judged.  Ties: an arrival at the very
@@ -31,9 +29,11 @@ from factloom.functions.form import blank, match_key
 from factloom.session import materialize
 
 REF = ["src_table", "src_key", "ref_field", "ref_key"]
-ID, KEY = ["r1", "r2"], ["k1", "k2"]
-REF_COLS = [*ID, "ref_field", *KEY, "born"]
-REF_SCHEMA = "r1 bigint, r2 bigint, ref_field string, k1 bigint, k2 bigint, born timestamp, dead_at_birth boolean, open boolean"
+KEY = ["k1", "k2"]
+REF_COLS = [*REF, *KEY, "born"]
+REF_SCHEMA = "src_table string, src_key string, ref_field string, ref_key string, k1 bigint, k2 bigint, born timestamp, dead_at_birth boolean, open boolean"
+#: References and events from which a key is split; there are at most rows / HOT such keys.
+HOT = 500_000
 MOMENT_SCHEMA = "k1 bigint, k2 bigint, ts timestamp, delta bigint"
 
 
@@ -58,23 +58,13 @@ def _hashed(*parts) -> list:
 
 
 def references(df: DataFrame, src_table: str, key: str, field: str, target: str) -> DataFrame:
-    """The references of `df.field` (a string or an array of strings) with their ids and keys; `advance` makes them distinct."""
+    """The references of `df.field` (a string or an array of strings) with their keys; `advance` makes them distinct."""
     value = F.explode(field) if dict(df.dtypes)[field].startswith("array") else F.col(field)
     refs = df.select(F.col(key).alias("src_key"), value.alias("ref_key"), F.col("loaded_at").alias("born"))
     refs = refs.where(~blank(F.col("ref_key")) & F.col("born").isNotNull())
     refs = refs.withColumns({"src_table": F.lit(src_table), "ref_field": F.lit(f"{src_table}.{field}"), "_k": match_key(F.col("ref_key"))})
-    r1, r2 = _hashed(*REF)
     k1, k2 = _hashed(F.lit(target), "_k")
-    return refs.select(*REF, r1.alias("r1"), r2.alias("r2"), k1.alias("k1"), k2.alias("k2"), "born")
-
-
-def named(refs: DataFrame, sources: DataFrame) -> DataFrame:
-    """`refs` (references of a state) with the names that `sources` (rows of `references`) give them.
-
-    The references are written first, so that Spark knows their size when it chooses the join.
-    """
-    names = sources.select(*ID, *REF).join(materialize(refs.drop("ref_field"), "named"), ID)
-    return names.dropDuplicates(REF).drop(*ID, *KEY)
+    return refs.select(*REF, k1.alias("k1"), k2.alias("k2"), "born")
 
 
 def parent_events(df: DataFrame, keys: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -96,14 +86,28 @@ def parent_events(df: DataFrame, keys: dict[str, tuple[str, ...]]) -> DataFrame:
 
 
 def judge(refs: DataFrame, moments: DataFrame) -> DataFrame:
-    """`refs` with `dead` (no parent row of the key lives at the reference's time) and `open` (none lives at the end).
-
-    Parent events and references of one moment are one row.  The net change per key and hour gives the number alive
-    as each hour begins (rows per key are bounded by hours, whatever the key holds); then each key-hour is swept on its own.
-    """
-    hour = F.date_trunc("hour", "ts")
+    """Distinct `refs` at their earliest time, with `dead` (no parent row of the key lives then) and `open` (none at the end)."""
+    rows = refs.select(*KEY).unionByName(moments.select(*KEY)).groupBy(*KEY).agg(F.count("*").alias("n"))
+    hot = F.broadcast(materialize(rows.where(F.col("n") > HOT).select(*KEY), "hot-keys"))  # at most rows / HOT keys
+    cold = _sweep_keys(refs.join(hot, KEY, "left_anti"), moments.join(hot, KEY, "left_anti"))
+    return cold.unionByName(_sweep_hours(refs.join(hot, KEY, "left_semi"), moments.join(hot, KEY, "left_semi")))
+
+
+def _sweep_keys(refs: DataFrame, moments: DataFrame) -> DataFrame:
+    """One shuffle by key: references made distinct, moments added up, and the number alive run over them."""
+    none = [F.lit(None).cast("string").alias(c) for c in REF]
+    rows = moments.select(*KEY, F.col("ts").alias("at"), *none, "ts", "delta").unionByName(refs.select(*KEY, F.lit(None).cast("timestamp").alias("at"), *REF, F.col("born").alias("ts"), F.lit(0).cast("bigint").alias("delta")))
+    rows = rows.repartition(*KEY).groupBy(*KEY, "at", *REF).agg(F.min("ts").alias("ts"), F.sum("delta").alias("delta"))
+    order = Window.partitionBy(*KEY).orderBy("ts", F.col("at").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"alive": F.sum("delta").over(order), "in_all": F.sum("delta").over(Window.partitionBy(*KEY))}).where("at is null")
+    return rows.select(*REF, *KEY, F.col("ts").alias("born"), (F.col("alive") <= 0).alias("dead"), (F.col("in_all") <= 0).alias("open"))
+
+
+def _sweep_hours(refs: DataFrame, moments: DataFrame) -> DataFrame:
+    """Keys split by hour; references read the verdict of their moment by an equi-join."""
+    refs = refs.groupBy(*REF, *KEY).agg(F.min("born").alias("born"))
     marks = moments.select(*KEY, "ts", "delta", F.lit(False).alias("asked")).unionByName(refs.select(*KEY, F.col("born").alias("ts"), F.lit(0).cast("bigint").alias("delta"), F.lit(True).alias("asked")))
-    marks = marks.groupBy(*KEY, "ts").agg(F.sum("delta").alias("delta"), F.bool_or("asked").alias("asked")).withColumn("hour", hour)
+    marks = marks.groupBy(*KEY, "ts").agg(F.sum("delta").alias("delta"), F.bool_or("asked").alias("asked")).withColumn("hour", F.date_trunc("hour", "ts"))
     hours = marks.groupBy(*KEY, "hour").agg(F.sum("delta").alias("delta"), F.bool_or("asked").alias("asked"))
     each, whole = Window.partitionBy(*KEY).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*KEY)
     start = hours.select(*KEY, "hour", F.coalesce(F.sum("delta").over(each), F.lit(0)).cast("bigint").alias("delta"), F.sum("delta").over(whole).alias("in_all"), "asked").where("asked")
@@ -123,15 +127,14 @@ def advance(state: OrphanState, refs: DataFrame, events: DataFrame) -> tuple[Orp
         touched = materialize(refs.select(*KEY).unionByName(events.select(*KEY)).distinct(), "touched")
         new = refs.select(*REF_COLS).unionByName(state.refs.join(touched, KEY, "left_semi").select(*REF_COLS))
         moments = events.unionByName(state.moments.join(touched, KEY, "left_semi"))
-    new = new.groupBy(*ID).agg(F.min("born").alias("born"), *[F.first(k).alias(k) for k in ("ref_field", *KEY)]).select(*REF_COLS)
     judged = judge(new, moments).withColumnRenamed("dead", "dead_at_birth").select(*REF_COLS, "dead_at_birth", "open")
     if state.first:
         none = judged.where(F.lit(False)).select(*REF_COLS, F.lit(None).cast("string").alias("transition"))
         return OrphanState(events.groupBy(*KEY, "ts").agg(F.sum("delta").alias("delta")), judged), none
     judged = materialize(judged, "judged")
-    known = state.refs.join(touched, KEY, "left_semi").select(*ID, F.col("open").alias("was_open"), F.col("dead_at_birth").alias("was_dead"))
+    known = state.refs.join(touched, KEY, "left_semi").select(*REF, F.col("open").alias("was_open"), F.col("dead_at_birth").alias("was_dead"))
     how = F.when(F.col("was_open") & ~F.col("open"), "resolved").when(~F.col("was_open") & F.col("open"), "reopened").when(F.col("was_dead") != F.col("dead_at_birth"), "rejudged")
-    moved = judged.join(known, ID).withColumn("transition", how).where("transition is not null").select(*REF_COLS, "transition")
+    moved = judged.join(known, REF).withColumn("transition", how).where("transition is not null").select(*REF_COLS, "transition")
     kept = state.moments.unionByName(events).groupBy(*KEY, "ts").agg(F.sum("delta").alias("delta"))
     return OrphanState(kept, state.refs.join(touched, KEY, "left_anti").unionByName(judged)), moved
 
@@ -139,7 +142,7 @@ def advance(state: OrphanState, refs: DataFrame, events: DataFrame) -> tuple[Orp
 def snapshot(state: OrphanState) -> DataFrame:
     """Counts per table, field and month of loading: references, dead when they came, open now."""
     month = F.date_format("born", "yyyy-MM").alias("month")
-    return state.refs.groupBy(F.substring_index("ref_field", ".", 1).alias("src_table"), "ref_field", month).agg(
+    return state.refs.groupBy("src_table", "ref_field", month).agg(
         F.count("*").alias("n_refs"),
         F.sum(F.col("dead_at_birth").cast("bigint")).alias("n_dead"),
         F.sum(F.col("open").cast("bigint")).alias("n_open"),
