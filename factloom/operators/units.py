@@ -33,9 +33,11 @@ SILENT = ("约", "近似", "大约", "近", "左右", "亏损", "净亏损", "
 DIGITS, POWERS = dict(zip("零〇一二三四五六七八九两", (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 2), strict=True)), {"十": 10, "百": 100, "千": 1000}
 PRIOR = {"currency": {"money": 0.0, "percent": 4.0, "share": 4.0}, "percentage": {"money": 4.0, "percent": 0.0, "share": 4.0}, "per_share": {"money": 0.0, "percent": 4.0, "share": 0.0}}
 
-_NUMBER = re.compile(r"\d[\d,]*(?:\.\d+)?|\.\d+")
+_NUMBER = re.compile(r"\d[\d,]*(?:\.\d+)?(?:e[+-]?\d{1,2}(?![\d.,]))?|\.\d+")
+#: Two numbers with nothing but a dash between them are a range, and no quantity.
+_RANGE = re.compile(r"#\s*(?:-|~|—|–|至|到)\s*#")
 _HAN_NUMBER = re.compile(r"[零〇一二三四五六七八九两十百千]*[零〇一二三四五六七八九两十][零〇一二三四五六七八九两十百千]*(?:点[零〇一二三四五六七八九]+)?")
-_NEGATIVE = re.compile(r"亏损|负|\bloss\b|[(（]\s*#|(?:^|[\s约似a-z])-\s*(?:rmb|cny|¥|￥)?\s*#|^[^#]*-\s*#")
+_NEGATIVE = re.compile(r"亏损|负|\bloss\b|[(（]\s*#|(?:^|[\s约似a-z])-\s*(?:rmb|cny|¥|￥)?\s*#|^[^#]*-\s*#|股\s*-\s*#")
 
 
 @lru_cache(None)
@@ -79,7 +81,7 @@ def read(skeleton: str, dimension: str) -> tuple[str, tuple[Decimal | None, ...]
     State is `ok`, `bare` (no unit printed) or `unfit` (a unit of another dimension).
     """
     tokens = [t for t in segment(skeleton, dimension) if t[1] != "silent"]
-    if any(t[1] == "unknown" for t in tokens):
+    if any(t[1] == "unknown" for t in tokens) or _RANGE.search(skeleton):
         return None
     factors: list[Decimal] = []
     roots: list[Decimal | None] = []
@@ -107,6 +109,8 @@ def read(skeleton: str, dimension: str) -> tuple[str, tuple[Decimal | None, ...]
             kinds.add("share")
             if n and tokens[n - 1][1] in ("number", "prefix") and factors:
                 shares.add(len(factors) - 1)
+    if "share" in kinds and not shares and not any(k == "exponent" and f < 0 for _, k, f in tokens):
+        return None  # money times shares, which is no unit of any dimension
     used = tuple(w for w, k, _ in tokens if k not in ("number", "exponent"))
     if not kinds and not any(k == "prefix" for _, k, _ in tokens):
         return "", (), "bare"
@@ -140,9 +144,12 @@ def _skeleton(text: str) -> tuple[str, list[Decimal]]:
     if not numbers:
         head = "百分之" if "百分之" in out else "千分之" if "千分之" in out else "万分之" if "万分之" in out else ""
         body = out.replace(head, "", 1) if head else out
-        if m := _HAN_NUMBER.search(body):
+
+        def take_han(m: re.Match) -> str:  # 一万二千 is two numbers with a scale between them
             numbers.append(_han(m.group()))
-            out = body[: m.start()] + head + "#" + body[m.end() :]
+            return (head if len(numbers) == 1 else "") + "#"
+
+        out = _HAN_NUMBER.sub(take_han, body) if _HAN_NUMBER.search(body) else out
     return re.sub(r"\s+", " ", out).strip(), numbers
 
 

@@ -6,9 +6,11 @@ the batch queries' once all files have been read and the watermark has passed.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factloom.operators.measures import exact_sum
 
@@ -38,6 +40,26 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return out.select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
+BUDGET = "user_id bigint, event_id bigint, cum double, exceeded boolean"
+
+
+def budget(events: DataFrame, limit: float) -> DataFrame:
+    """Running sum of `value` per user over all batches, and whether it passes the limit: keyed state of one number.
+
+    Within a batch a user's events count in the order of `ts` and `event_id`; null values count as 0.
+    """
+
+    def add(key, batches, state: GroupState):
+        held = state.get[0] if state.exists else 0.0
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        cum = held + rows["value"].fillna(0.0).cumsum()
+        state.update((float(cum.iloc[-1]),))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "cum": cum, "exceeded": cum > limit})
+
+    each = events.where("user_id is not null").select("user_id", "event_id", "ts", "value").groupBy("user_id")
+    return each.applyInPandasWithState(add, BUDGET, "held double", "append", GroupStateTimeout.NoTimeout)
+
+
 def run(rows: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Read what is there now into a Parquet folder-backed table and return it; exactly once by checkpoint and commit log."""
     q = rows.writeStream.format("parquet").outputMode(mode).option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

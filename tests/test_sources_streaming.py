@@ -61,6 +61,18 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert os.listdir(tmp_path / "wc")
 
 
+def test_budget_is_held_over_batches(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    src = str(tmp_path / "in")
+    for k in range(3):  # one file a batch
+        rows = [(10 * k + i, t0 + dt.timedelta(minutes=10 * k + i), i % 2, "a", None if i == 4 else 1.0, "{}") for i in range(6)]
+        spark.createDataFrame(rows, ev.EVENTS).coalesce(1).write.mode("append").parquet(src)
+    out = ev.run(ev.budget(ev.source(spark, src, files_per_batch=1), 4.0), str(tmp_path / "b"), str(tmp_path / "bc")).collect()
+    assert len(out) == 18
+    top = {u: max(r.cum for r in out if r.user_id == u) for u in (0, 1)}
+    assert top == {0: 6.0, 1: 9.0} and all(r.exceeded == (r.cum > 4.0) for r in out)
+
+
 def test_plan_levels_and_coverage(spark):
     steps = spark.createDataFrame([("p", "a", True, "SUCCESS"), ("p", "b", True, "SUCCESS"), ("p", "c", True, "FAILED"), ("p", "d", False, "SUCCESS"), ("q", "x", True, "SUCCESS"), ("q", "y", True, "SUCCESS")], "plan_id string, step_id string, required boolean, status string")
     edges = spark.createDataFrame([("p", "b", "a"), ("p", "d", "c"), ("p", "d", "b"), ("q", "x", "y"), ("q", "y", "x"), ("p", "a", None)], "plan_id string, step_id string, needs string")

@@ -45,3 +45,11 @@ def test_frame_with_odd_rows(spark):
     assert [r.quantity for r in out.where("fact_id = 'a'").collect()] == [Decimal(10**8)] * 2
     assert out.where("fact_id <> 'a' and quantity is not null").count() == 0
     assert convert(df.limit(0), metrics).count() == 0
+
+
+def test_ranges_exponents_and_han_scales():
+    q = lambda raw, dimension="currency": quantity(raw, None, dimension)[0]
+    assert q("10-12亿元") is None and q("10至12亿元") is None
+    assert q("1.2e9元") == Decimal("1.2e9") and q("1.5E-2亿元") == 1_500_000
+    assert q("一万二千元") == 12_000 and q("五亿三千万元") == 530_000_000
+    assert q("5.2元股", "per_share") is None and q("5.2元/股", "per_share") == Decimal("5.2") and q("每10股-2.5元", "per_share") == Decimal("-0.25")
