@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 
+#: Characters of a chunk cut under its running title, and of its overlap.
+TITLED, TITLED_OVERLAP = 900, 120
 PARENT, PARENT_OVERLAP, CHILD, CHILD_OVERLAP, CHILD_LEAST = 1050, 120, 360, 40, 120
 
 
@@ -61,3 +63,21 @@ def parent_child(documents: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out, columns=["doc_id", "parent_idx", "child_idx", "text"])
 
     return rows.mapInPandas(cut, "doc_id bigint, parent_idx int, child_idx int, text string")
+
+
+def title_aware(documents: DataFrame) -> DataFrame:
+    """`doc_id`, `section_idx`, `title`, `chunk_idx`, `text`: chunks that never cross a title line; null before the first one."""
+    ls = tx.lines(tx.normalize(F.col("text")))
+    rows = documents.where(F.col("text").rlike(r"\S")).select("doc_id", ls.alias("ls"), F.transform(ls, tx.is_title_like).alias("ts"))
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for d, ls, ts in zip(b["doc_id"], b["ls"], b["ts"], strict=True):
+                starts = [0, *(i for i, t in enumerate(ts) if t and i)]
+                for n, (i, j) in enumerate(zip(starts, [*starts[1:], len(ls)], strict=True)):
+                    out += [(d, n, ls[i] if ts[i] else None, k, c) for k, c in enumerate(pack(list(ls[i:j]), TITLED, TITLED_OVERLAP))]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "section_idx", "title", "chunk_idx", "text"])
+
+    return rows.mapInPandas(cut, "doc_id bigint, section_idx int, title string, chunk_idx int, text string")

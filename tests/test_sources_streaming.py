@@ -90,3 +90,15 @@ def test_packing_of_texts(spark):
     assert max(len(r.text) for r in rows) <= 360 * 1.15 + 1
     assert chunking.windows("a" * 1000, 300, 50)[-1][-1] == "a" and sum(map(len, chunking.windows("a" * 1000, 300, 50))) >= 1000
     assert chunking.parent_child(df.limit(0)).count() == 0
+
+
+def test_chunks_keep_to_their_titles(spark):
+    text = "开头一行\n1.1 概况\n" + "\n".join(f"正文第{i}行，内容若干" for i in range(200)) + "\n二、风险\n末尾\n"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "  "), (4, "只有正文"), (5, "一、只有标题")], "doc_id bigint, text string")
+    rows = chunking.title_aware(df).collect()
+    assert {r.doc_id for r in rows} == {1, 4, 5}
+    mine = [r for r in rows if r.doc_id == 1]
+    assert {(r.section_idx, r.title) for r in mine} == {(0, None), (1, "1.1 概况"), (2, "二、风险")}
+    assert all(len(r.text) <= chunking.TITLED + chunking.TITLED_OVERLAP + 1 for r in mine) and all("正文第" not in r.text for r in mine if r.section_idx != 1)
+    assert all(any(f"正文第{i}行，" in r.text for r in mine) for i in range(200))
+    assert chunking.title_aware(df.limit(0)).count() == 0
