@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import lookalikes, mixing, packing, site_lines, subjects, survivors, tokens
@@ -148,10 +148,19 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_checked(spark: SparkSession, d: str) -> DataFrame:
-    """Per mix and source: whether the repetition limit holds, and whether the share is met or the limit reached."""
-    out = mixing.report(*_mixed(spark, d))
-    met = (F.abs(F.coalesce("reached_share", F.lit(0.0)) - F.col("target_share")) <= 0.05) | F.col("at_limit")
-    return out.select("mix_id", "source", "target_share", (F.col("most_times") <= F.col("max_repeats")).alias("within_limit"), met.alias("met_or_at_limit"))
+    """Per mix and source: the repetition limit holds, the plan is at the target or at the limit, the draw is at the plan.
+
+    A plan is at the target within SHORTFALL of the mix, among the wanted sources that have documents; a draw is at the
+    plan within one document of the source.
+    """
+    drawn, plans = _mixed(spark, d)
+    largest = tokens.sizes(table(spark, d, "documents"), "source").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("tokens").alias("largest"))
+    got = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("times")).alias("reached"), F.max("times").alias("times"))
+    rows = plans.join(got, ["mix_id", "source"], "left").join(largest, "source", "left").na.fill(0, ["reached", "times", "largest"])
+    mix = Window.partitionBy("mix_id")
+    share, wanted = F.col("planned_tokens") / F.sum("planned_tokens").over(mix), F.col("target_share") / F.sum(F.when(F.col("available") > 0, F.col("target_share"))).over(mix)
+    planned = F.col("at_limit") | (F.abs(share - wanted) <= mixing.SHORTFALL + 1e-6)
+    return rows.select("mix_id", "source", "target_share", (F.col("times") <= F.col("max_repeats")).alias("within_limit"), planned.alias("planned"), (F.abs(F.col("reached") - F.col("planned_tokens")) <= F.col("largest")).alias("drawn"))
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
@@ -209,5 +218,5 @@ ORACLE_SQL = {
     "p5_found": f"{_SURVIVORS} select group_id, fact_id from top",
     "p5_checked": f"{_SURVIVORS} select g.group_id, count(*) as n_records, max(top.fact_id) as sure_fact_id, true as of_group from g left join top on g.group_id = top.group_id where n > 1 group by 1",
     "p6_checked": "with n as (select count(*) as n from documents where text is not null) select spec_id, n as n_documents, n as n_whole, 0 as n_over from pack_specs, n where capacity_tokens >= 1",
-    "p7_checked": "select mix_id, lower(trim(source)) as source, target_share, true as within_limit, true as met_or_at_limit from mix_targets where mix_id is not null and source is not null",
+    "p7_checked": "select mix_id, lower(trim(source)) as source, target_share, true as within_limit, true as planned, true as drawn from mix_targets where mix_id is not null and source is not null",
 }
