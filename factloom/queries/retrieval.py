@@ -60,11 +60,10 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scoped_search(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 within the query's own source; the scope applies to the postings, before anything is scored."""
-    docs = table(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("scope"))
-    made = _index(spark, d)
-    made = replace(made, words=made.words.join(docs.where("scope is not null"), "doc_id"))
-    asked = _asked(spark, d).join(docs.withColumnRenamed("doc_id", "query_id"), "query_id")
+    """BM25 within the query's own source; the scope applies to the texts, before anything is scored."""
+    docs = table(spark, d, "documents").withColumn("scope", F.lower(F.trim("source")))
+    made = replace(_index(spark, d), texts=docs.where("scope is not null and text is not null").select("doc_id", "scope", F.col("text").alias("txt")))
+    asked = docs.where("doc_id % 100 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), "title", "scope")
     return search.bm25(asked, "query_id", F.col("title"), made, "doc_id", 5, "scope").select("query_id", "doc_id", "score", "rk")
 
 
