@@ -40,11 +40,8 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _title_hits(spark: SparkSession, d: str) -> DataFrame:
     """A second ranking beside BM25: share of the query's tokens that the title holds, over shared tokens only."""
-    asked = _asked(spark, d).select("query_id", F.explode(F.array_distinct(tx.words(F.col("title")))).alias("token"))
-    n = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    have = table(spark, d, "documents").where("title is not null").select("doc_id", F.explode(F.array_distinct(tx.words(F.col("title")))).alias("token"))
-    hits = have.join(asked, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("m")).join(n, "query_id")
-    return search.best(hits.withColumn("score", F.round(F.col("m") / F.col("n"), 6)), K, "query_id", "doc_id").select("query_id", "doc_id", "score", "rk")
+    titles = table(spark, d, "documents").where("title is not null")
+    return search.shares(_asked(spark, d), "query_id", F.col("title"), titles, "doc_id", F.col("title"), K)
 
 
 def _fused(title: DataFrame, bm25: DataFrame) -> DataFrame:
