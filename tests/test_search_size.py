@@ -11,7 +11,7 @@ from factloom.functions import bags
 from factloom.functions import text as tx
 
 D = "/root/testdata/sf0.01"
-SEARCHES = ["bm25_topk", "hybrid_topk", "evidence_pool"]
+SEARCHES = ["bm25_topk", "hybrid_topk", "evidence_pool", "diverse_docs"]
 
 
 def shuffled(spark):
