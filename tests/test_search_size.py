@@ -11,7 +11,7 @@ from factloom.functions import bags
 from factloom.functions import text as tx
 
 D = "/root/testdata/sf0.01"
-SEARCHES = ["bm25_topk", "hybrid_topk", "evidence_pool", "diverse_docs", "evidence_select", "method_comparison", "retrieval_metrics", "shared_terms", "doc_candidates", "rerank_candidates", "retrieval_scores", "domain_priority"]
+SEARCHES = ["bm25_topk", "hybrid_topk", "evidence_pool", "diverse_docs", "evidence_select", "method_comparison", "retrieval_metrics", "shared_terms", "doc_candidates", "rerank_candidates", "retrieval_scores", "domain_priority", "retrieval_badcases"]
 
 
 def shuffled(spark):
